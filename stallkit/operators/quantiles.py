@@ -1,0 +1,217 @@
+"""Exact percentiles per group by distributed multi-select over mergeable sorted runs.
+
+A *run* is a sorted array of some of a group's values, as one partition, day or file holds them. Runs are the partial
+state: the runs of two inputs are combined by ``union`` and give the percentiles of both together, without error.
+
+``select_quantiles`` finds ranks in the union of a group's runs. Each round every run proposes local quantiles at the
+wanted rank's relative place (the local median, for a median), and one a little to either side; the weighted median of
+the proposals becomes a pivot; the runs count values below and equal to each pivot; the ranges that can't hold the rank
+are discarded. When few enough values are left, they are sorted. The error is zero, the bound is on the rounds: a
+weighted median of medians rules out at least a quarter of the values that remain.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stallkit.session import Workspace
+
+RUN = "k string, vals array<double>"
+#: Values of a group (or of what remains of its range) that one task sorts itself.
+FINISH_ROWS = 4096
+#: Values of one run at most, so that a run is small whatever the skew.
+RUN_ROWS = 65536
+#: State rows (heavy groups times ranks) up to which the state is broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS = 50_000
+MAX_ROUNDS = 200
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a partition that is sorted by group and value."""
+    import numpy as np
+
+    def emit(keys, parts):
+        offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        vals = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+        return pa.record_batch([pa.array(keys, pa.string()), vals], names=["k", "vals"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(0).dictionary_encode()
+        codes = k.indices.to_numpy(zero_copy_only=False)
+        v = batch.column(1).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.diff(codes)) + 1
+        starts = np.concatenate([[0], cut])
+        ends = np.append(cut, batch.num_rows)
+        keys, parts = [], []
+        for a, b, key in zip(starts, ends, k.dictionary.take(k.indices.take(pa.array(starts))).to_pylist(), strict=True):
+            for at in range(a, b, RUN_ROWS):
+                keys.append(key)
+                parts.append(v[at : min(b, at + RUN_ROWS)])
+        yield emit(keys, parts)
+
+
+def build_runs(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The runs of ``df``: ``k, vals``. No shuffle: every partition makes its own.
+
+    Rows with a null key, or a value that is null or NaN, are left out. An empty table gives no runs.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(F.col(key).cast("string").alias("k"), v.alias("v")).filter(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
+    return rows.sortWithinPartitions("k", "v").mapInArrow(_runs, RUN)
+
+
+def _rank_targets(n: Column, qs: Sequence[float]) -> Column:
+    """Zero-based ranks below and above each quantile's place (n-1)*q."""
+    return F.array_distinct(F.flatten(F.array(*[F.array(F.floor((n - 1) * F.lit(q)), F.ceil((n - 1) * F.lit(q))) for q in qs])))
+
+
+def _between(at: Column, lo: Column, hi: Column) -> Column:
+    share = at - F.floor(at)
+    return F.when(share == 0, lo).otherwise(lo + (hi - lo) * share)
+
+
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            vals = np.asarray(r["vals"])
+            for s in r["state"]:
+                a, b = np.searchsorted(vals, s["lo"], "right"), np.searchsorted(vals, s["hi"], "left")
+                if (n := b - a) <= 0:
+                    continue
+                q = s["rank"] / max(1, s["left"] - 1)
+                slack = 1.5 / np.sqrt(max(4, s["left"])) + 1e-3
+                for i, p in enumerate((q - slack, q, q + slack)):
+                    out.append((r["k"], s["target"], i, float(vals[a + int(round(min(1.0, max(0.0, p)) * (n - 1)))]), int(n)))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["k", "target", "i", "v", "w"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            vals = np.asarray(r["vals"])
+            for s in r["pivots"]:
+                lo = np.searchsorted(vals, s["lo"], "right")
+                p = np.asarray(s["at"])
+                below = np.searchsorted(vals, p, "left") - lo
+                upto = np.searchsorted(vals, p, "right") - lo
+                out += [(r["k"], s["target"], float(x), int(b), int(u)) for x, b, u in zip(p, below, upto, strict=True)]
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["k", "target", "p", "below", "upto"])
+
+
+def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    for batch in batches:
+        ks, targets, parts = [], [], []
+        for r in batch.to_pylist():
+            vals = np.asarray(r["vals"])
+            for s in r["state"]:
+                part = vals[np.searchsorted(vals, s["lo"], "right") : np.searchsorted(vals, s["hi"], "left")]
+                if len(part):
+                    ks.append(r["k"])
+                    targets.append(s["target"])
+                    parts.append(part)
+        yield pa.record_batch([pa.array(ks, pa.string()), pa.array(targets, pa.int64()), pa.array(parts, pa.list_(pa.float64()))], names=["k", "target", "vals"])
+
+
+def _with_state(runs: DataFrame, state: DataFrame, fields: Sequence[str], name: str, small: bool) -> DataFrame:
+    """Each run with the array of its group's states. The state goes to the runs while it is small."""
+    packed = state.groupBy("k").agg(F.collect_list(F.struct(*fields)).alias(name))
+    return runs.join(F.broadcast(packed) if small else packed, "k").select("k", "vals", name)
+
+
+def select_quantiles(runs: DataFrame, qs: Sequence[float], finish_rows: int = FINISH_ROWS) -> DataFrame:
+    """Quantiles of every group of ``runs``: ``k, n, q`` with ``q`` an array in the order of ``qs``.
+
+    Between two ranks the value is interpolated, so the median of an even number is the mean of the two in the middle.
+    Groups of up to ``finish_rows`` values are sorted at once; larger ones go through the rounds.
+    """
+    for q in qs:
+        if not 0 <= q <= 1:
+            raise ValueError(f"a quantile lies between 0 and 1, not at {q}")
+    spark = runs.sparkSession
+    ws = Workspace(spark, "quantiles")
+    runs = ws.cut(runs, "runs")
+    sizes = runs.groupBy("k").agg(F.sum(F.size("vals")).cast("bigint").alias("n"))
+    heavy = ws.cut(sizes.filter(F.col("n") > finish_rows), "heavy")
+    n_heavy = heavy.count()
+    small = n_heavy * 2 * len(qs) <= BROADCAST_ROWS
+    near = F.broadcast(heavy) if small else heavy
+    light = runs.join(near.select("k"), "k", "left_anti") if n_heavy else runs
+    spot = [(F.col("n") - 1) * F.lit(float(q)) for q in qs]
+    # element_at counts from 1
+    picked = light.groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("vals"))).alias("vals")).withColumn("n", F.size("vals").cast("bigint"))
+    done = picked.select("k", "n", F.array(*[_between(s, F.element_at("vals", (F.floor(s) + 1).cast("int")), F.element_at("vals", (F.ceil(s) + 1).cast("int"))) for s in spot]).alias("q"))
+    if not n_heavy:
+        return done
+    big = ws.cut(runs.join(near.select("k"), "k"), "big")
+    inf = float("inf")
+    state = heavy.select("k", F.explode(_rank_targets(F.col("n"), qs)).alias("target"), F.col("n").alias("left")).select("k", F.col("target").cast("bigint").alias("target"), F.col("target").cast("bigint").alias("rank"), F.lit(-inf).alias("lo"), F.lit(inf).alias("hi"), "left", F.lit(None).cast("double").alias("found"))
+    state = ws.cut(state, "state0")
+    for turn in range(MAX_ROUNDS):
+        active = state.filter(F.col("found").isNull() & (F.col("left") > finish_rows))
+        if active.isEmpty():
+            break
+        fields = ["target", "rank", "lo", "hi", "left"]
+        proposals = _with_state(big, active, fields, "state", small).mapInArrow(_propose, "k string, target bigint, i int, v double, w bigint")
+        # Weighted median of the proposals; a group has at most as many as it has runs.
+        ordered = F.array_sort(F.collect_list(F.struct("v", "w")))
+        half = F.aggregate("o", F.lit(0).cast("bigint"), lambda acc, x: acc + x["w"]) / 2
+        middle = F.aggregate(
+            "o",
+            F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("v")),
+            lambda acc, x: F.struct((acc["seen"] + x["w"]).alias("seen"), F.coalesce(acc["v"], F.when(acc["seen"] + x["w"] >= F.col("half"), x["v"])).alias("v")),
+        )["v"]
+        pivots = proposals.groupBy("k", "target", "i").agg(ordered.alias("o")).withColumn("half", half).select("k", "target", middle.alias("p"))
+        pivots = active.join(pivots.groupBy("k", "target").agg(F.array_sort(F.collect_set("p")).alias("at")), ["k", "target"])
+        counts = _with_state(big, pivots, ["target", "lo", "at"], "pivots", small).mapInArrow(_count, "k string, target bigint, p double, below bigint, upto bigint")
+        counts = counts.groupBy("k", "target", "p").agg(F.sum("below").alias("below"), F.sum("upto").alias("upto")).groupBy("k", "target").agg(F.collect_list(F.struct("p", "below", "upto")).alias("c"))
+        told = state.join(counts, ["k", "target"], "left")
+        r = F.col("rank")
+        hit = F.filter("c", lambda x: (x["below"] <= r) & (r < x["upto"]))
+        under = F.filter("c", lambda x: x["upto"] <= r)
+        over = F.filter("c", lambda x: x["below"] > r)
+        told = told.withColumn("hit", F.get(hit, F.lit(0))["p"]).withColumn("u", F.array_max(F.transform(under, lambda x: F.struct(x["p"], x["upto"])))).withColumn("o", F.array_min(F.transform(over, lambda x: F.struct(x["p"], x["below"]))))
+        gone = F.coalesce(F.col("u.upto"), F.lit(0))
+        state, old = (
+            ws.cut(
+                told.select(
+                    "k",
+                    "target",
+                    (r - gone).alias("rank"),
+                    F.coalesce(F.col("u.p"), F.col("lo")).alias("lo"),
+                    F.coalesce(F.col("o.p"), F.col("hi")).alias("hi"),
+                    (F.coalesce(F.col("o.below"), F.col("left")) - gone).alias("left"),
+                    F.coalesce("found", "hit").alias("found"),
+                ),
+                f"state{turn + 1}",
+            ),
+            f"state{turn}",
+        )
+        ws.drop(old)
+    else:
+        raise RuntimeError("multi-select did not end")
+    rest = _with_state(big, state.filter(F.col("found").isNull()), ["target", "lo", "hi"], "state", small).mapInArrow(_remaining, "k string, target bigint, vals array<double>")
+    rest = rest.groupBy("k", "target").agg(F.array_sort(F.flatten(F.collect_list("vals"))).alias("vals"))
+    ranks = state.join(rest, ["k", "target"], "left").select("k", "target", F.coalesce("found", F.get("vals", F.col("rank").cast("int"))).alias("v"))
+    by_rank = heavy.join(ranks.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("target", "v"))).alias("m")), "k")
+    return done.unionByName(by_rank.select("k", "n", F.array(*[_between(s, F.element_at("m", F.floor(s)), F.element_at("m", F.ceil(s))) for s in spot]).alias("q")))
+
+
+def run_schema() -> T.StructType:
+    return T.StructType.fromDDL(RUN)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallkit.functions.folding import fold_for_match
+from stallkit.functions.money import SCALES, asking_price, stated_unit, unit_of
 from stallkit.operators.quantiles import build_runs, select_quantiles
 from stallkit.operators.skew import balanced_counts
+from stallkit.operators.units import assign_units, candidates
+from stallkit.session import Workspace
 from stallkit.sources.tables import table
 
 
@@ -49,3 +53,53 @@ def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Quartiles and the 90th percentile of the usable prices of every product."""
     q = price_quantiles(table(spark, folder, "product_listings"), (0.25, 0.5, 0.75, 0.9))
     return q.select(F.col("k").alias("product_seo_id"), "n", *[F.round(F.element_at("q", i + 1), 6).alias(f"p{p}") for i, p in enumerate((25, 50, 75, 90))])
+
+
+#: Ratio of two amounts, in log10, within which they state the same price; stored amounts are rounded.
+_SAME = 0.004
+
+
+def priced_listings(listings: DataFrame, rates: DataFrame) -> DataFrame:
+    """Every listing's asking price in euros: ``id, unit_code, unit_scale, probability, uncertain, common, hinted``.
+
+    Evidence, in this order: the currency column, the asking price in the texts, words that name the currency. A text
+    that shows the stored amount at a hundred times less, or a thousand times more, tells the scale. Where a part is
+    still missing the mixture of the price's category decides. ``common`` is the price in euros, null without any price;
+    ``hinted`` tells whether anything but the number itself speaks for the unit. Copies of an id give one row.
+    """
+    one = listings.select("id", "title", "description", "price", "currency", "categories").dropDuplicates(["id"])
+    title, text = fold_for_match(F.col("title")), fold_for_match(F.col("description"))
+    read = one.select(
+        "id",
+        F.when((F.col("price") > 0) & ~F.isnan("price"), F.col("price")).alias("stored"),
+        F.when(F.col("price").isNull() | F.isnan("price"), F.lit(True)).otherwise(False).alias("blank_price"),
+        unit_of(fold_for_match(F.col("currency"))).alias("told"),
+        F.get(F.reverse("categories"), F.lit(0)).alias("category"),
+        asking_price(title, text).alias("asked"),
+        F.coalesce(stated_unit(text), stated_unit(title)).alias("named"),
+    )
+    read = Workspace(listings.sparkSession, "asked").cut(read, "read")
+    read = read.withColumn("asked_unit", unit_of(F.col("asked.token"))).withColumn("named_unit", unit_of(F.col("named")))
+    ratio = F.log10(F.col("stored")) - F.log10(F.when(F.col("asked.amount") > 0, F.col("asked.amount")))
+    close = lambda at: F.coalesce(F.abs(ratio - at) < _SAME, F.lit(False))
+    unit_text = F.coalesce(F.col("asked_unit.scale") == "unit", F.lit(False))
+    seen = F.when(unit_text & close(2), "cent").when(unit_text & close(-3), "thousand").when(close(0), F.col("asked_unit.scale"))
+    use_text = F.col("blank_price") & F.col("asked.amount").isNotNull()
+    code = F.coalesce("told.code", F.when(use_text | seen.isNotNull(), F.col("asked_unit.code")), "named_unit.code", "asked_unit.code")
+    scale = F.when(use_text, F.coalesce("asked_unit.scale", "told.scale")).otherwise(F.coalesce(F.when(F.col("told.scale") != "unit", F.col("told.scale")), seen, "told.scale", F.when(F.col("named_unit.scale") != "unit", F.col("named_unit.scale"))))
+    rows = read.select("id", "category", F.when(use_text, F.col("asked.amount")).otherwise(F.col("stored")).alias("number"), use_text.alias("from_text"), code.alias("code"), scale.alias("scale"))
+    rows = rows.withColumn("hinted", F.col("code").isNotNull())
+    return assign_units(rows, "number", "category", "code", "scale", candidates(rates.select("code", F.col("eur_per_unit").alias("factor")), SCALES), ["id", "from_text", "hinted"])
+
+
+def p4_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Every listing's asking price in euros, with the unit it was in and how sure that is."""
+    p = priced_listings(table(spark, folder, "listings"), table(spark, folder, "currency_rates"))
+    return p.select("id", F.col("unit_code").alias("currency_code"), F.col("unit_scale").alias("price_scale"), F.round("probability", 4).alias("probability"), "uncertain", F.round("common", 2).alias("price_eur"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings whose asking price is not stored as a number of euros, with the unit it is in."""
+    p = priced_listings(table(spark, folder, "listings"), table(spark, folder, "currency_rates"))
+    off = F.col("from_text") | (F.col("unit_code") != "EUR") | (F.col("unit_scale") != "unit")
+    return p.filter(F.col("hinted") & F.col("common").isNotNull() & off).select("id", F.col("unit_code").alias("currency_code"), F.col("unit_scale").alias("price_scale"))

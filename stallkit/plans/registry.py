@@ -13,6 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "p1_found": prices.p1_found,
     "p1_counts": prices.p1_counts,
+    "p4_found": prices.p4_found,
+    "p4_prices": prices.p4_prices,
     "p5_found": prices.p5_found,
     "p5_percentiles": prices.p5_percentiles,
 }

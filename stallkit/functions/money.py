@@ -17,14 +17,15 @@ SPELLINGS = {
 }
 #: Spellings of hundredths, and marks before a currency that mean thousands. Fixed values.
 HUNDREDTHS = {"EUR": ["cent", "cents", "ct", "eurocent", "eurocents", "eur-cent", "euro-cent", "eurc"], "GBP": ["p", "pence", "penny"], "USD": ["us cent", "us-cent", "us cents"], "CHF": ["rappen", "rp"], "PLN": ["grosz", "groszy", "gr"], "SEK": ["öre"], "CZK": ["haléř"]}
-THOUSAND_MARKS = ["k", "t", "tsd", "tsd.", "tausend", "mille", "thousand"]
+THOUSAND_MARK = r"^(?:k|tsd\.?|tausend|thousand|mille|t)\s*"
 SCALES = {"unit": 1.0, "cent": 0.01, "thousand": 1000.0}
 
 _NAME = "|".join(sorted({s.replace("$", r"\$") for names in [*SPELLINGS.values(), *HUNDREDTHS.values()] for s in names if s not in ("p", "gr", "rp")}, key=len, reverse=True))
 _TOKEN = rf"(?:(?:tsd\.?\s*|tausend\s*|k|t)?(?:{_NAME}))"
 _AMOUNT = r"\d{1,3}(?:[ .,'’]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?"
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-_MONEY = rf"(?:({_TOKEN})\.?\s*)?(?<![\d.,])({_AMOUNT})(?![\d])(?:\s*({_TOKEN}){_END})?"
+#: A currency and an amount, in either order.
+_MONEY = rf"(?:({_TOKEN})\.?\s*(?<![\d.,])({_AMOUNT})(?!\d)|(?<![\d.,])({_AMOUNT})\s*({_TOKEN}){_END})"
 _CUES = r"(?:fest)?preis|price|prix|asking(?: price)?|vb|vhb|fp|ich hätte gern|je demande|cena|pris"
 #: A price with a word before it that asks for it, or one after it that offers to bargain.
 ASKING_BEFORE = rf"(?iu){_EDGE}(?:{_CUES})\s*[:=]?\s*{_MONEY}"
@@ -36,19 +37,21 @@ STATED_UNIT = rf"(?iu){_EDGE}(?:preis|price|prix|angaben?|betrag|cena|priset|amo
 ONLY_UNIT = rf"(?iu){_EDGE}({_TOKEN})\s+(?:only|nur|seulement){_END}"
 
 
-def _table() -> list[tuple[str, str, str]]:
-    rows = [(s, code, "unit") for code, names in SPELLINGS.items() for s in names]
-    rows += [(s, code, "cent") for code, names in HUNDREDTHS.items() for s in names]
-    rows += [(f"{m}{gap}{s}", code, "thousand") for code, names in SPELLINGS.items() for s in names for m in THOUSAND_MARKS for gap in ("", " ") if f"{m}{gap}{s}" not in ("kc", "kč", "kr")]
-    return rows
+def _lookup_map() -> str:
+    """SQL of the map from spellings to ``CODE|scale``; as text, since thousands of separate literals are slow to build."""
+    rows = [(s, f"{code}|unit") for code, names in SPELLINGS.items() for s in names] + [(s, f"{code}|cent") for code, names in HUNDREDTHS.items() for s in names]
+    return f"map({', '.join(repr(x) for row in rows for x in row)})"
 
 
 def unit_of(token: Column) -> Column:
     """``struct<code, scale>`` of a spelling, or null when it is blank or unknown. Only GBp differs by case from GBP."""
-    known = {s: (code, scale) for s, code, scale in reversed(_table())}
     clean = F.trim(F.regexp_replace(F.lower(F.trim(token)), r"\.$", ""))
-    lookup = F.create_map(*[x for s, (code, scale) in known.items() for x in (F.lit(s), F.struct(F.lit(code).alias("code"), F.lit(scale).alias("scale")))])
-    return F.when(F.trim(token) == "GBp", F.struct(F.lit("GBP").alias("code"), F.lit("cent").alias("scale"))).otherwise(F.try_element_at(lookup, clean))
+    names = F.expr(_lookup_map())
+    base = F.regexp_replace(clean, THOUSAND_MARK, "")
+    whole, part = F.try_element_at(names, clean), F.try_element_at(names, base)
+    thousand = F.when((base != clean) & part.endswith("|unit"), F.concat(F.substring_index(part, "|", 1), F.lit("|thousand")))
+    told = F.when(F.trim(token) == "GBp", "GBP|cent").otherwise(F.coalesce(whole, thousand))
+    return F.when(told.isNotNull(), F.struct(F.substring_index(told, "|", 1).alias("code"), F.substring_index(told, "|", -1).alias("scale")))
 
 
 def amount_of(text: Column) -> Column:
@@ -59,17 +62,18 @@ def amount_of(text: Column) -> Column:
 
 
 def first_money(text: Column, pattern: str) -> Column:
-    """``struct<amount, token>`` of the first match that names a currency; null if there is none."""
-    before, amount, after = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2, 3))
-    found = F.arrays_zip(before.alias("b"), amount.alias("a"), after.alias("c"))
-    named = F.filter(found, lambda x: (F.coalesce(x["b"], F.lit("")) != "") | (F.coalesce(x["c"], F.lit("")) != ""))
-    one = F.get(named, F.lit(0))
-    token = F.when(F.coalesce(one["b"], F.lit("")) != "", one["b"]).otherwise(one["c"])
-    return F.when(F.size(named) > 0, F.struct(amount_of(one["a"]).alias("amount"), token.alias("token")))
+    """The first stretch of ``text`` that fits one of the patterns above, or null. It is short; ``money_in`` reads it."""
+    return F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+
+
+def money_in(stretch: Column) -> Column:
+    """``struct<amount, token>`` of a stretch that ``first_money`` found."""
+    part = lambda i: F.regexp_extract(stretch, rf"(?iu){_EDGE}{_MONEY}", i)
+    return F.when(stretch.isNotNull(), F.struct(amount_of(F.concat(part(2), part(3))).alias("amount"), F.concat(part(1), part(4)).alias("token")))
 
 
 def asking_price(title: Column, description: Column) -> Column:
-    """``struct<amount, token>`` of the asking price in the texts; shipping costs and former prices have no such words."""
+    """The stretch that states the asking price; shipping costs and former prices have no such words."""
     return F.coalesce(first_money(description, ASKING_BEFORE), first_money(description, ASKING_AFTER), first_money(title, IN_TITLE))
 
 

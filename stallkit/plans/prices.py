@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallkit.functions.folding import fold_for_match
-from stallkit.functions.money import SCALES, asking_price, stated_unit, unit_of
+from stallkit.functions.money import SCALES, asking_price, money_in, stated_unit, unit_of
 from stallkit.operators.quantiles import build_runs, select_quantiles
 from stallkit.operators.skew import balanced_counts
 from stallkit.operators.units import assign_units, candidates
@@ -68,17 +68,19 @@ def priced_listings(listings: DataFrame, rates: DataFrame) -> DataFrame:
     ``hinted`` tells whether anything but the number itself speaks for the unit. Copies of an id give one row.
     """
     one = listings.select("id", "title", "description", "price", "currency", "categories").dropDuplicates(["id"])
-    title, text = fold_for_match(F.col("title")), fold_for_match(F.col("description"))
+    one = one.withColumn("title", fold_for_match(F.col("title"))).withColumn("text", fold_for_match(F.col("description")))
+    title, text = F.col("title"), F.col("text")
     read = one.select(
         "id",
         F.when((F.col("price") > 0) & ~F.isnan("price"), F.col("price")).alias("stored"),
         F.when(F.col("price").isNull() | F.isnan("price"), F.lit(True)).otherwise(False).alias("blank_price"),
         unit_of(fold_for_match(F.col("currency"))).alias("told"),
         F.get(F.reverse("categories"), F.lit(0)).alias("category"),
-        asking_price(title, text).alias("asked"),
+        asking_price(title, text).alias("asking"),
         F.coalesce(stated_unit(text), stated_unit(title)).alias("named"),
     )
     read = Workspace(listings.sparkSession, "asked").cut(read, "read")
+    read = read.withColumn("asked", money_in(F.col("asking")))
     read = read.withColumn("asked_unit", unit_of(F.col("asked.token"))).withColumn("named_unit", unit_of(F.col("named")))
     ratio = F.log10(F.col("stored")) - F.log10(F.when(F.col("asked.amount") > 0, F.col("asked.amount")))
     close = lambda at: F.coalesce(F.abs(ratio - at) < _SAME, F.lit(False))

@@ -35,20 +35,25 @@ SETTLED = 2e-3
 #: Weight of an ungraded document against a graded one.
 UNGRADED = 0.1
 LEAST_WORDS = 40
+#: Share of a sentence's weight that goes to two nodes for its shape, its number of words and their mean length. They
+#: tie languages and rare words to the graded documents.
+SHAPE = 0.5
 _BINS = 2048
 _WORD = regex.compile(r"[^\W\d_]+")
 _SENTENCE = regex.compile(r"[.!?\n;]+")
 
 
 def links(text: str) -> tuple[list[int], list[float]]:
-    """Words of a text as places in the word space, with their weights; these add up to 1 if there are any."""
+    """Words and sentence shapes of a text as places in the word space, with weights; these add up to 1 if there are any."""
     plain = unicodedata.normalize("NFKC", text).lower()
     sentences = [s for s in map(_WORD.findall, _SENTENCE.split(plain)) if len(s) > 1] or [s for s in [_WORD.findall(plain)] if s]
     weight: Counter[int] = Counter()
     for s in sentences:
-        share = 1 / len(s) / len(sentences)
+        share = (1 - SHAPE) / len(s) / len(sentences)
         for w in s:
             weight[xxhash.xxh32_intdigest(w) % SPACE] += share
+        for shape in (f"#words {min(len(s), 42) // 3}", f"#letters {round(2 * sum(map(len, s)) / len(s))}"):
+            weight[xxhash.xxh32_intdigest(shape) % SPACE] += SHAPE / 2 / len(sentences)
     return list(weight), list(weight.values())
 
 

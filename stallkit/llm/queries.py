@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stallkit.llm.bpe import decode_ids, encode_texts
 from stallkit.llm.leakage import leaked, reparameterised
 from stallkit.llm.reading import reading_levels
+from stallkit.llm.same_product import classes, same_product
 from stallkit.llm.unicode_fold import fold_text
 from stallkit.llm.sql import SQL
 from stallkit.sources.tables import table
@@ -31,6 +32,16 @@ def p2_folded(spark: SparkSession, folder: str) -> DataFrame:
     return folded.select("id", F.col("title_folded").alias("title"), F.col("description_folded").alias("description"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of ungrouped listings that offer the same product."""
+    return same_product(p3_classes(spark, folder))
+
+
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Model, measure and colour of every ungrouped listing that offers a product."""
+    return classes(table(spark, folder, "listings"), table(spark, folder, "products"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
@@ -61,6 +72,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_folded": p2_folded,
+    "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_found": p9_found,

@@ -1,0 +1,44 @@
+"""Listings of the same product."""
+
+import pytest
+
+from stallkit.llm.queries import QUERIES
+from stallkit.llm.same_product import classes, measures, same_product
+from stallkit.session import local_session
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return local_session(cores="2", shuffle_partitions=2)
+
+
+def test_measures_agree_after_conversion():
+    assert measures('22" monitor')["mm"] == measures("55,9 cm")["mm"] == {559}
+    assert measures("0.512 TB") == measures("512 Go") == measures("512 G B") == {"gb": {512}}
+    assert measures("0,7kilos")["g"] == {700}
+
+
+def test_pairs(spark):
+    products = spark.createDataFrame(
+        [("acme-fosufase-wp7623-700-black", "Acme Fosufase WP-7623", ["goods", "tents"], {"weight": "700 g", "color": "black"}), ("acme-fosufase-wp7623-2500-red", "Acme Fosufase WP-7623", ["goods", "tents"], {"weight": "2.5 kg", "color": "red"})],
+        "seo_id string, name string, category array<string>, attributes map<string,string>",
+    )
+    listings = spark.createDataFrame(
+        [
+            ("a", "Acme Fosufase wp/7623 0,7 kg schwarz", None, None),
+            ("a", "Acme Fosufase wp/7623 0,7 kg schwarz", None, None),
+            ("b", "Zelt noir", {"type": "WP 7623", "poids": "700 Gramm"}, None),
+            ("c", "Acme Fosuafse 700g", None, None),
+            ("d", "Acme Fosufase rot", None, None),
+            ("e", "Tasche für Acme Fosufase WP-7623 700 g schwarz", None, None),
+            ("f", "Acme Fosufase 700 g schwarz", None, "acme-fosufase-wp7623-700-black"),
+        ],
+        "id string, title string, attributes map<string,string>, seo_id string",
+    )
+    found = classes(listings, products)
+    assert {(r.id, r.code, r.measure, r.colour) for r in found.collect()} == {("a", "wp7623", 700, "black"), ("b", "wp7623", 700, "black"), ("c", "wp7623", 700, "black"), ("d", "wp7623", 2500, "red")}
+    assert sorted(map(tuple, same_product(found).collect())) == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
+def test_registered():
+    assert {"p3_found", "p3_classes"} <= set(QUERIES)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallkit.llm.bpe import decode_ids, encode_texts
+from stallkit.llm.canon import meant_entries
 from stallkit.llm.leakage import leaked, reparameterised
 from stallkit.llm.reading import reading_levels
 from stallkit.llm.same_product import classes, same_product
@@ -42,6 +43,15 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     return classes(table(spark, folder, "listings"), table(spark, folder, "products"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories, brands and conditions that are not an entry's very name, and the entry they mean."""
+    listings, products = table(spark, folder, "listings"), table(spark, folder, "products")
+    values = listings.select(F.col("id").alias("record_key"), F.lit("category").alias("field"), F.col("category").alias("value"))
+    for field in ("brand", "condition"):
+        values = values.unionByName(products.select(F.col("seo_id").alias("record_key"), F.lit(field).alias("field"), F.col(field).alias("value")))
+    return meant_entries(values, table(spark, folder, "canon_values"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
@@ -74,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_folded": p2_folded,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_found": p9_found,

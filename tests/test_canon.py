@@ -1,0 +1,22 @@
+"""Free values and the entries they mean."""
+
+from stallkit.llm.canon import Matcher, meant_entries
+from stallkit.llm.queries import QUERIES
+from stallkit.session import local_session
+
+ENTRIES = [(101, "Notebook Computers", ["Laptops"]), (106, "Coffee Makers", ["Kaffeemaschinen", "Cafetières"]), (105, "Bicycles", ["Fahrräder", "Vélos"])]
+
+
+def test_values():
+    m = Matcher(ENTRIES)
+    for value, entry in {"COFFEE MAKERS": 106, "Makers, Coffee": 106, "Rubrik Kaffeemalcninen": 106, "cafetieres": 106, "> Bicyces": 105, "Fahrraeder / used": 105, "NOTEBOOKC OMPUTERS": 101, "LAPTOPPS, sonstiges": 101, "Keller muss leer werden": -1, "4711": -1, "???": -1}.items():
+        assert m.resolve(value) == entry, value
+
+
+def test_cases():
+    spark = local_session(cores="2", shuffle_partitions=2)
+    canon = spark.createDataFrame([(106, "category", "Coffee Makers", ["Cafetières"]), (201, "condition", "as new", []), (300, "brand", "Zystaklex", ["ZYST Werke"])], "entry_id int, entry_kind string, entry_name string, aliases array<string>")
+    rows = [("a", "category", "Coffee Makers"), ("b", "category", "Cafetières"), ("b", "category", "Cafetières"), ("c", "category", "  "), ("d", "category", None), ("p", "condition", "unknown"), ("q", "condition", "new, as"), ("p", "brand", "ZSYTAKLEX ®"), ("q", "brand", "no name"), ("r", "brand", "as new")]
+    found = meant_entries(spark.createDataFrame(rows, "record_key string, field string, value string"), canon)
+    assert sorted(map(tuple, found.collect())) == [("b", "category", 106), ("p", "brand", 300), ("q", "brand", -1), ("q", "condition", 201), ("r", "brand", -1)]
+    assert "p7_found" in QUERIES

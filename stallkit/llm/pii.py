@@ -1,6 +1,6 @@
 """Personal information in free text: spans, scores and typed placeholders.
 
-Regular expressions propose spans of a kind, each with a score of its own. Validators (Luhn, mod-97, the mod-11 check of
+Regular expressions propose spans of a kind, each with a score of its own. Validators (Luhn, the French mod-97 key, the mod-11 check of
 tax numbers, the 7-3-1 check of travel documents) add to the score of spans whose digits fit, words around the span add
 or take away. Spans that reach ``ACCEPT`` count; of overlapping ones the highest score wins, then the longest. Texts are
 brought to one consistent form first, so odd characters hide nothing; the redacted text is in that form.
@@ -44,12 +44,6 @@ def mod97_french(digits: str) -> bool:
     return len(digits) == 15 and 97 - int(digits[:13]) % 97 == int(digits[13:])
 
 
-def mod97_iban(text: str) -> bool:
-    """Check digits of an account number by ISO 7064."""
-    t = text.replace(" ", "").upper()
-    return len(t) > 14 and t.isalnum() and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
-
-
 def tax_id(digits: str) -> bool:
     """Check digit of a German tax number of 11 digits (ISO 7064 mod 11, 10)."""
     if len(digits) != 11:
@@ -130,6 +124,9 @@ NAMES = [
 ]
 #: Capitalised words that begin a sentence or name a thing, not a person. Fixed values.
 NOT_NAMES = frozenset("chat mail email telefon tel handy whatsapp sms anzeige plattform nachricht bitte preis versand abholung privat shop laden neu gerät anruf email e-mail message portal rückfragen fragen interesse bedarf vereinbarung absprache".split())
+NAME_RUN = regex.compile(rf"(?<![\p{{L}}@._-]){_PART}(?:[ ]{_PART}){{0,3}}(?![\p{{L}}@_])")
+#: Words before a name that say it is a thing's.
+PRODUCT_CUE = regex.compile(r"(?:marke|hersteller|modell?|modèle|marque|brand|serie|série|series|typ|type)\W{1,3}(?:\w+\W)?$", _I)
 #: A whole contact entry, or its part before a number, that is a person.
 CONTACT_NAME = regex.compile(rf"^\s*{_FULL}\s*(?:$|[,;/|:–-]\s*(?=[+(\d]|{_LOCAL}\s?@))")
 
@@ -184,14 +181,24 @@ def _addresses(t: str) -> Iterator[Span]:
             yield Span("address", m.start(), m.end(), score)
 
 
-def _names(t: str, contact: bool) -> Iterator[Span]:
+def _names(t: str, contact: bool, known: frozenset[str]) -> Iterator[Span]:
     for pattern, score in NAMES:
         for m in pattern.finditer(t):
-            a, b = m.span("v")
-            if m.group("v").split()[0].lower() in NOT_NAMES:
+            a, words = m.start("v"), m.group("v").split(" ")
+            if words[0].lower() in NOT_NAMES:
                 continue
-            before, _ = _near(t, a, b)
-            yield Span("name", a, b, score + 0.1 * (" " in m.group("v")))
+            while words[-1].lower() in NOT_NAMES:
+                words.pop()
+            yield Span("name", a, a + len(" ".join(words)), score + 0.1 * (len(words) > 1))
+    # Without a cue, words known as parts of names are proposed; a product word before them takes away, a second one adds.
+    for m in NAME_RUN.finditer(t) if known else ():
+        words = m.group().split(" ")
+        hits = [i for i, w in enumerate(words) if w in known]
+        if hits:
+            a = m.start() + sum(len(w) + 1 for w in words[: hits[0]])
+            run = " ".join(words[hits[0] : hits[-1] + 1])
+            before, _ = _near(t, a, a + len(run))
+            yield Span("name", a, a + len(run), 0.5 + 0.05 * (len(hits) > 1) - 0.3 * bool(PRODUCT_CUE.search(before)))
     if contact and (m := CONTACT_NAME.match(t)):
         words = m.group("v").split()
         if not any(w.lower().strip(".,") in NOT_NAMES for w in words):
@@ -199,9 +206,12 @@ def _names(t: str, contact: bool) -> Iterator[Span]:
             yield Span("name", m.start("v"), m.end("v"), 0.4 + 0.2 * (len(words) > 1 or m.end() < len(t)))
 
 
-def find(text: str, contact: bool = False) -> list[Span]:
-    """Accepted spans of a text in consistent form, in order. ``contact`` marks a field that is meant to hold contacts."""
-    spans = [*_emails(text), *_names(text, contact)]
+def find(text: str, contact: bool = False, known: frozenset[str] = frozenset()) -> list[Span]:
+    """Accepted spans of a text in consistent form, in order. ``contact`` marks a field that is meant to hold contacts.
+
+    ``known`` are words that are parts of names wherever they stand.
+    """
+    spans = [*_emails(text), *_names(text, contact, known)]
     if regex.search(r"\d", text):
         spans += [*_phones(text), *_ids(text), *_addresses(text)]
     out: list[Span] = []
@@ -220,11 +230,25 @@ def redact(text: str, spans: Sequence[Span]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def redact_columns(df: DataFrame, columns: Sequence[str], contacts: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+def name_words(df: DataFrame, column: str, least: int = 2, most: int = 20_000) -> frozenset[str]:
+    """Parts of the names that stand as first and last name in ``least`` contact entries of ``column`` or more, the commonest ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = fold_array(batch.column(0))[0].to_pylist()
+            runs = [t[s.start : s.end].split(" ") for t in texts if t for s in find(t, True) if s.kind == "name"]
+            yield pa.record_batch([pa.array([w for r in runs if len(r) == 2 for w in r if regex.fullmatch(_PART, w)], pa.string())], names=["word"])
+
+    words = df.select(F.col(column).cast("string").alias("text")).where("text is not null").mapInArrow(run, "word string")
+    counts = words.groupBy("word").count().where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(most)
+    return frozenset(r.word for r in counts.collect())
+
+
+def redact_columns(df: DataFrame, columns: Sequence[str], contacts: Sequence[str] = (), keep: Sequence[str] = (), known: frozenset[str] = frozenset()) -> DataFrame:
     """``keep`` columns with ``<column>_redacted`` and ``<column>_kinds`` (distinct kinds found, sorted) of each column.
 
     Null gives null and no kinds; empty text stays. Texts are read whole. A kept column that bears a result's name is
-    left out. ``contacts`` names those of ``columns`` that hold contact entries.
+    left out. ``contacts`` names those of ``columns`` that hold contact entries, ``known`` words that are parts of names.
     """
     made = {f"{c}{s}" for c in columns for s in ("_redacted", "_kinds")}
     kept = [k for k in keep if k not in made]
@@ -239,7 +263,7 @@ def redact_columns(df: DataFrame, columns: Sequence[str], contacts: Sequence[str
                 out = list(batch.columns[: len(kept)])
                 for i, c in enumerate(columns):
                     texts = fold_array(batch.column(len(kept) + i))[0].to_pylist()
-                    spans = [find(t, c in contacts) if t else [] for t in texts]
+                    spans = [find(t, c in contacts, known) if t else [] for t in texts]
                     out.append(pa.array([None if t is None else redact(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.string()))
                     out.append(pa.array([sorted({x.kind for x in s}) for s in spans], pa.list_(pa.string())))
                 yield pa.record_batch(out, names=[*kept, *[f.name for f in fields]])
@@ -247,4 +271,4 @@ def redact_columns(df: DataFrame, columns: Sequence[str], contacts: Sequence[str
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(kept)], *fields]))
 
 
-__all__ = ["Span", "find", "luhn", "mod97_french", "mod97_iban", "redact", "redact_columns", "tax_id", "travel_document"]
+__all__ = ["Span", "find", "luhn", "mod97_french", "name_words", "redact", "redact_columns", "tax_id", "travel_document"]

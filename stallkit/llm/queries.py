@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallkit.llm.bpe import decode_ids, encode_texts
 from stallkit.llm.canon import meant_entries
 from stallkit.llm.leakage import leaked, reparameterised
+from stallkit.llm.pii import name_words, redact_columns
 from stallkit.llm.reading import reading_levels
 from stallkit.llm.same_product import classes, same_product
 from stallkit.llm.unicode_fold import fold_text
@@ -43,6 +44,26 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     return classes(table(spark, folder, "listings"), table(spark, folder, "products"))
 
 
+def _redacted(spark: SparkSession, folder: str) -> DataFrame:
+    listings = table(spark, folder, "listings").select("id", "description", "contact").distinct()
+    return redact_columns(listings, ["description", "contact"], ["contact"], ["id"], name_words(listings, "contact"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings, fields and the kinds of personal information in them."""
+    def cases(field: str) -> Column:
+        return F.transform(f"{field}_kinds", lambda kind: F.struct(F.lit(field).alias("field"), kind.alias("pii_kind")))
+
+    kinds = F.concat(cases("description"), cases("contact"))
+    found = _redacted(spark, folder).select("id", F.explode(kinds).alias("case"))
+    return found.select("id", "case.field", "case.pii_kind").distinct()
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Both texts of every listing with a placeholder for each piece of personal information."""
+    return _redacted(spark, folder).select("id", F.col("description_redacted").alias("description"), F.col("contact_redacted").alias("contact"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Categories, brands and conditions that are not an entry's very name, and the entry they mean."""
     listings, products = table(spark, folder, "listings"), table(spark, folder, "products")
@@ -84,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_folded": p2_folded,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,

@@ -1,0 +1,28 @@
+"""Personal information in listings."""
+
+from stallkit.llm import queries
+from stallkit.llm.pii import find, redact
+from stallkit.session import local_session
+
+KNOWN = frozenset({"Ilka", "Kordelstätter"})
+
+
+def test_names_without_a_cue():
+    for text, out in {
+        "Das Rad gehörte Ilka und steht im Keller.": "Das Rad gehörte [NAME] und steht im Keller.",
+        "Kordelstätter hat es gekauft.": "[NAME] hat es gekauft.",
+        "Gestern war Ilka Kordelstätter da.": "Gestern war [NAME] da.",
+        "Verkaufe Modell Ilka in rot.": "Verkaufe Modell Ilka in rot.",
+        "LG Ulla Abholung: Hafenweg 3": "LG [NAME] Abholung: [ADDRESS]",
+    }.items():
+        assert redact(text, find(text, known=KNOWN)) == out
+
+
+def test_queries(tmp_path):
+    spark = local_session(cores="2", shuffle_partitions=2)
+    rows = [("a", "Mail an a.b@example.org. Ilka hat es kaum benutzt.", "Shop 4471"), ("a", "Mail an a.b@example.org. Ilka hat es kaum benutzt.", "Shop 4471"), ("b", None, "Ilka Fennhagen"), ("c", "", "Ilka Kordelkamp, +49 170 1234567")]
+    spark.createDataFrame(rows, "id string, description string, contact string").write.parquet(f"{tmp_path}/listings.parquet")
+    found = sorted(map(tuple, queries.QUERIES["p6_found"](spark, str(tmp_path)).collect()))
+    assert found == [("a", "description", "email"), ("a", "description", "name"), ("b", "contact", "name"), ("c", "contact", "name"), ("c", "contact", "phone")]
+    texts = {r.id: (r.description, r.contact) for r in queries.QUERIES["p6_redacted"](spark, str(tmp_path)).collect()}
+    assert texts == {"a": ("Mail an [EMAIL]. [NAME] hat es kaum benutzt.", "Shop 4471"), "b": (None, "[NAME]"), "c": ("", "[NAME], [PHONE]")}

@@ -15,8 +15,9 @@ gathers documents or links.
 from __future__ import annotations
 
 import unicodedata
+import warnings
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from stallkit.session import Workspace
 
 #: Size of the word space; two arrays of so many doubles are sent to executors each step.
 SPACE = 1 << 18
-ROUNDS = 8
+#: Far more steps than any input seen needs; whoever reaches it is told.
+MOST_ROUNDS = 200
 SETTLED = 2e-3
 #: Weight of an ungraded document against a graded one.
 UNGRADED = 0.1
@@ -108,6 +110,16 @@ def _sums(parts: DataFrame) -> np.ndarray:
     return out
 
 
+def until_settled(step: Callable[[], float], most: int = MOST_ROUNDS) -> int:
+    """Calls ``step``, which says how far values moved, until they settle; returns the number of calls."""
+    for n in range(1, most + 1):
+        moved = step()
+        if moved < SETTLED:
+            return n
+    warnings.warn(f"values still move by {moved:.2g} after {most} steps", RuntimeWarning, stacklevel=2)
+    return most
+
+
 def propagate(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, value``: difficulty from 1 to 3 of every document of ``LEAST_WORDS`` words or more.
 
@@ -172,7 +184,9 @@ def propagate(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     out = "word int, w double, wy double, wyy double"
     state = state_from(_sums(graded.mapInArrow(add(lambda: None, None), out)))
-    for _ in range(ROUNDS):
+
+    def step() -> float:
+        nonlocal state
         shared = sc.broadcast(state)
         scale = scale_of(shared)
         new = state_from(_sums(g.mapInArrow(add(lambda s=shared: s.value, scale), out)))
@@ -180,8 +194,9 @@ def propagate(documents: DataFrame, labels: DataFrame) -> DataFrame:
         moved = float(np.abs(new["value"] - state["value"])[known].mean()) if known.any() else 0.0
         state = new
         shared.unpersist()
-        if moved < SETTLED:
-            break
+        return moved
+
+    until_settled(step)
     shared = sc.broadcast(state)
     scale = scale_of(shared)
 

@@ -1,0 +1,15 @@
+"""Steps of the reading levels."""
+
+import pytest
+
+from stallkit.llm.reading import SETTLED, until_settled
+
+
+def test_steps_go_on_until_settled():
+    left = iter([1.0] * 20 + [SETTLED / 2, 1.0])
+    assert until_settled(lambda: next(left)) == 21
+
+
+def test_an_unfinished_fit_is_reported():
+    with pytest.warns(RuntimeWarning, match="still move"):
+        assert until_settled(lambda: 1.0, 5) == 5

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stallkit.llm.bpe import decode_ids, encode_texts
 from stallkit.llm.canon import meant_entries
 from stallkit.llm.leakage import leaked, reparameterised
+from stallkit.llm.percentiles import p5_found, p5_percentiles
 from stallkit.llm.pii import name_words, redact_columns
 from stallkit.llm.reading import reading_levels
 from stallkit.llm.same_product import classes, same_product
@@ -105,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_folded": p2_folded,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
+    "p5_found": p5_found,
+    "p5_percentiles": p5_percentiles,
     "p6_found": p6_found,
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,

@@ -1,0 +1 @@
+"""Queries over whole tables, with the SQL that checks them."""

@@ -1,4 +1,4 @@
-"""Price statistics of product listings."""
+"""Counts of product listings and prices in common units."""
 
 from __future__ import annotations
 
@@ -7,27 +7,17 @@ from pyspark.sql import functions as F
 
 from stallkit.functions.folding import fold_for_match
 from stallkit.functions.money import SCALES, asking_price, money_in, stated_unit, unit_of
-from stallkit.operators.quantiles import build_runs, select_quantiles
 from stallkit.operators.skew import balanced_counts
 from stallkit.operators.units import assign_units, candidates
+from stallkit.plans.registry import query
 from stallkit.session import Workspace
 from stallkit.sources.tables import table
 
 
-def usable_prices(product_listings: DataFrame) -> DataFrame:
-    """``product_seo_id, price``: one row per row key (product_seo_id, listing_id, found_at), in EUR and above 0.
-
-    Copies of a key are merged before the shuffle. A null in the key is a value like any other.
-    """
-    rows = product_listings.filter((F.col("currency") == "EUR") & (F.col("price") > 0))
-    return rows.groupBy("product_seo_id", "listing_id", "found_at").agg(F.min("price").alias("price")).select("product_seo_id", "price")
-
-
-def price_quantiles(product_listings: DataFrame, qs: tuple[float, ...]) -> DataFrame:
-    """``k, n, q``: percentiles of the usable prices of every product."""
-    return select_quantiles(build_runs(usable_prices(product_listings), "product_seo_id", "price"), qs)
-
-
+@query("""
+    SELECT p.seo_id FROM products p
+    LEFT JOIN (SELECT product_seo_id, count(DISTINCT listing_id) AS n FROM product_listings GROUP BY 1) l ON l.product_seo_id = p.seo_id
+    WHERE p.listing_count IS NOT NULL AND p.listing_count <> coalesce(l.n, 0)""")
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Products whose listing_count is not the number of distinct listings that name them."""
     counts = balanced_counts(table(spark, folder, "product_listings"), "product_seo_id", "listing_id")
@@ -36,25 +26,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return both.filter(F.col("listing_count") != F.coalesce("n_distinct", F.lit(0))).select("seo_id")
 
 
+@query("""
+    SELECT product_seo_id, count(*) AS n_rows, count(DISTINCT listing_id) AS n_distinct FROM product_listings GROUP BY 1""")
 def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and distinct listings of every product_seo_id, null and blank ones included."""
     return balanced_counts(table(spark, folder, "product_listings"), "product_seo_id", "listing_id")
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Products with 20 usable prices or more whose median_price is off the true median by more than 10 % of it."""
-    medians = price_quantiles(table(spark, folder, "product_listings"), (0.5,)).filter(F.col("n") >= 20)
-    medians = medians.select(F.col("k").alias("seo_id"), F.element_at("q", 1).alias("true_median"))
-    both = table(spark, folder, "products").select("seo_id", "median_price").join(medians, "seo_id")
-    return both.filter(F.abs(F.col("median_price") - F.col("true_median")) > 0.1 * F.col("true_median")).select("seo_id")
-
-
-def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Quartiles and the 90th percentile of the usable prices of every product."""
-    q = price_quantiles(table(spark, folder, "product_listings"), (0.25, 0.5, 0.75, 0.9))
-    return q.select(F.col("k").alias("product_seo_id"), "n", *[F.round(F.element_at("q", i + 1), 6).alias(f"p{p}") for i, p in enumerate((25, 50, 75, 90))])
-
-
 #: Ratio of two amounts, in log10, within which they state the same price; stored amounts are rounded.
 _SAME = 0.004
 
@@ -94,12 +72,14 @@ def priced_listings(listings: DataFrame, rates: DataFrame) -> DataFrame:
     return assign_units(rows, "number", "category", "code", "scale", candidates(rates.select("code", F.col("eur_per_unit").alias("factor")), SCALES), ["id", "from_text", "hinted"])
 
 
+@query()
 def p4_prices(spark: SparkSession, folder: str) -> DataFrame:
     """Every listing's asking price in euros, with the unit it was in and how sure that is."""
     p = priced_listings(table(spark, folder, "listings"), table(spark, folder, "currency_rates"))
     return p.select("id", F.col("unit_code").alias("currency_code"), F.col("unit_scale").alias("price_scale"), F.round("probability", 4).alias("probability"), "uncertain", F.round("common", 2).alias("price_eur"))
 
 
+@query()
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Listings whose asking price is not stored as a number of euros, with the unit it is in."""
     p = priced_listings(table(spark, folder, "listings"), table(spark, folder, "currency_rates"))

@@ -1,4 +1,8 @@
-"""The core's queries and their SQL, by name."""
+"""The core's queries and their SQL, by name.
+
+A query takes the session and a folder of tables and returns a frame; ``query`` enters it under its function's name,
+with the SQL that gives the same rows where SQL can.
+"""
 
 from __future__ import annotations
 
@@ -6,35 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallkit.plans import prices
-
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {
-    "p1_found": prices.p1_found,
-    "p1_counts": prices.p1_counts,
-    "p4_found": prices.p4_found,
-    "p4_prices": prices.p4_prices,
-    "p5_found": prices.p5_found,
-    "p5_percentiles": prices.p5_percentiles,
-}
-
-SQL: dict[str, str] = {
-    "p1_found": """
-        SELECT p.seo_id FROM products p
-        LEFT JOIN (SELECT product_seo_id, count(DISTINCT listing_id) AS n FROM product_listings GROUP BY 1) l ON l.product_seo_id = p.seo_id
-        WHERE p.listing_count IS NOT NULL AND p.listing_count <> coalesce(l.n, 0)""",
-    "p1_counts": """
-        SELECT product_seo_id, count(*) AS n_rows, count(DISTINCT listing_id) AS n_distinct FROM product_listings GROUP BY 1""",
-    "p5_found": """
-        SELECT p.seo_id FROM products p JOIN (
-            SELECT product_seo_id, count(*) AS n, median(price) AS m FROM (
-                SELECT product_seo_id, listing_id, found_at, min(price) AS price FROM product_listings
-                WHERE currency = 'EUR' AND price > 0 GROUP BY 1, 2, 3) GROUP BY 1) t ON t.product_seo_id = p.seo_id
-        WHERE t.n >= 20 AND abs(p.median_price - t.m) > 0.1 * t.m""",
-    "p5_percentiles": """
-        SELECT product_seo_id, count(*) AS n, round(quantile_cont(price, 0.25), 6) AS p25, round(quantile_cont(price, 0.5), 6) AS p50,
-               round(quantile_cont(price, 0.75), 6) AS p75, round(quantile_cont(price, 0.9), 6) AS p90
-        FROM (SELECT product_seo_id, listing_id, found_at, min(price) AS price FROM product_listings
-              WHERE currency = 'EUR' AND price > 0 AND product_seo_id IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1""",
-}
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def enter(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return enter

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,22 +45,42 @@ def work_folder(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Written tables of one run. ``cut`` writes a frame and reads it again, so later work starts from files."""
+    """Written tables of one run. ``cut`` writes a frame and reads it again, so later work starts from files.
+
+    ``finish`` writes the result and removes the run's other tables; what is left goes when the process ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: list[str] = []
+        atexit.register(self.close)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         schema = df.schema
+        self.names.append(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The written result of a run whose other tables nothing reads any more."""
+        out = self.cut(df, "result")
+        for name in self.names[:-1]:
+            self.drop(name)
+        return out
+
     def drop(self, name: str) -> None:
         """Removes a table of this run that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        self._delete(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        """Removes all tables of this run, if the session is still there."""
+        with suppress(Exception):
+            self._delete(self.root)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

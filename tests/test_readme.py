@@ -9,9 +9,3 @@ def test_every_query_is_listed():
     text = (Path(__file__).parents[1] / "README.md").read_text()
     assert [q for q in __spark_entry__.queries() if q not in text] == []
     assert "no implementation" not in text
-
-
-def test_size_switch_of_percentiles_is_stated():
-    from stallkit.operators.quantiles import FINISH_ROWS
-
-    assert f"`FINISH_ROWS` = {FINISH_ROWS:,}" in (Path(__file__).parents[1] / "README.md").read_text()

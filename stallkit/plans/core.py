@@ -1,6 +1,6 @@
 """All of the core's queries: importing the modules enters them."""
 
-from stallkit.plans import prices, scalars
+from stallkit.plans import prices, scalars, searching, storage
 from stallkit.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "prices", "scalars"]
+__all__ = ["QUERIES", "SQL", "prices", "scalars", "searching", "storage"]

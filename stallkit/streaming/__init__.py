@@ -1 +1 @@
-
+"""Streaming forms of listing operators."""

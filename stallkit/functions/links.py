@@ -7,7 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from stallkit.functions.text import is_blank, literal_list, literal_map, trimmed
 from stallkit.functions.vocabulary import LOCALE_DOMAINS, MARKETPLACE_DOMAINS, PLATFORMS, PRICE_FLAGS
@@ -112,14 +112,20 @@ def resolves_public(addresses: Column) -> Column:
     return F.coalesce((F.size(addresses) > 0) & F.forall(addresses, lambda a: F.coalesce(~is_private_address(a), F.lit(False))), F.lit(False))
 
 
+def _join(page: str | None, reference: str | None) -> str:
+    try:
+        return urljoin(page or "", reference) if reference and reference.strip() else ""
+    except ValueError:
+        return ""
+
+
 @F.pandas_udf(StringType())
 def resolved_url(page: pd.Series, reference: pd.Series) -> pd.Series:
     """The absolute address of a reference on a page; blank references and failures give ``""``."""
+    return pd.Series([_join(p, r) for p, r in zip(page, reference, strict=True)], dtype=object)
 
-    def join(p: str | None, r: str | None) -> str:
-        try:
-            return urljoin(p or "", r) if r and r.strip() else ""
-        except ValueError:
-            return ""
 
-    return pd.Series([join(p, r) for p, r in zip(page, reference, strict=True)], dtype=object)
+@F.pandas_udf(ArrayType(StringType()))
+def resolved_urls(page: pd.Series, references: pd.Series) -> pd.Series:
+    """The absolute addresses of several references on a page; null gives none."""
+    return pd.Series([[_join(p, r) for r in rs] if rs is not None else [] for p, rs in zip(page, references, strict=True)], dtype=object)

@@ -1,6 +1,6 @@
 """All of the core's queries: importing the modules enters them."""
 
-from stallkit.plans import messages, prices, scalars, searching, statistics, storage, taxonomy, verbs
+from stallkit.plans import messages, pages, prices, scalars, searching, statistics, storage, taxonomy, verbs
 from stallkit.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "messages", "prices", "scalars", "searching", "statistics", "storage", "taxonomy", "verbs"]
+__all__ = ["QUERIES", "SQL", "messages", "pages", "prices", "scalars", "searching", "statistics", "storage", "taxonomy", "verbs"]

@@ -16,13 +16,14 @@ from stallkit.sources.tables import table
 WS = T.WS
 
 
-def _trim(c: str) -> str:
+def trim_sql(c: str) -> str:
+    """SQL of a text without white space at the ends."""
     return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 
 
-def _text(c: str) -> str:
+def text_sql(c: str) -> str:
     """SQL of normalised text without entities."""
-    return f"coalesce(regexp_replace({_trim(c)}, '{WS}+', ' ', 'g'), '')"
+    return f"coalesce(regexp_replace({trim_sql(c)}, '{WS}+', ' ', 'g'), '')"
 
 
 def _sign(v: str) -> str:
@@ -46,7 +47,7 @@ def _values(entries: list[tuple[str, str]]) -> str:
     SELECT product_seo_id, listing_id, condition, CASE WHEN condition IS NULL OR v = '' THEN 'unknown' ELSE coalesce(m[v],
         m[list_filter(map_keys(m), lambda k: length(k) >= 3 AND contains(v, k))[1]],
         CASE WHEN length(v) <= 30 AND {_sign("v")} THEN v END, 'unknown') END AS normalized
-    FROM (SELECT product_seo_id, listing_id, condition, lower({_trim("condition")}) AS v FROM product_listings), (SELECT {sql_map(CONDITION_ENTRIES)} AS m)""")
+    FROM (SELECT product_seo_id, listing_id, condition, lower({trim_sql("condition")}) AS v FROM product_listings), (SELECT {sql_map(CONDITION_ENTRIES)} AS m)""")
 def n1_conditions(spark: SparkSession, folder: str) -> DataFrame:
     """The canonical condition of every product listing."""
     return table(spark, folder, "product_listings").select("product_seo_id", "listing_id", "condition", A.normalized_condition(F.col("condition")).alias("normalized"))
@@ -74,12 +75,12 @@ def _attributes(spark: SparkSession, folder: str) -> DataFrame:
 _ATTRIBUTES = "SELECT id, found_at, unnest(map_keys(attributes)) AS raw_key, unnest(map_values(attributes)) AS raw_value FROM listings WHERE attributes IS NOT NULL"
 
 
-@query(f"SELECT id, found_at, raw_value, coalesce(list_contains({sql_list([w for w, _ in COLOUR_ENTRIES])}, lower({_trim('raw_value')})), false) AS known FROM ({_ATTRIBUTES})")
+@query(f"SELECT id, found_at, raw_value, coalesce(list_contains({sql_list([w for w, _ in COLOUR_ENTRIES])}, lower({trim_sql('raw_value')})), false) AS known FROM ({_ATTRIBUTES})")
 def n4_known_colours(spark: SparkSession, folder: str) -> DataFrame:
     return _attributes(spark, folder).select("id", "found_at", "raw_value", A.is_known_colour(F.col("raw_value")).alias("known"))
 
 
-@query(f"""SELECT id, found_at, raw_value, CASE WHEN {_trim("raw_value")} = '' THEN raw_value ELSE coalesce({sql_map(COLOUR_ENTRIES)}[lower({_trim("raw_value")})], {_trim("raw_value")}) END AS colour
+@query(f"""SELECT id, found_at, raw_value, CASE WHEN {trim_sql("raw_value")} = '' THEN raw_value ELSE coalesce({sql_map(COLOUR_ENTRIES)}[lower({trim_sql("raw_value")})], {trim_sql("raw_value")}) END AS colour
     FROM ({_ATTRIBUTES}) WHERE lower(raw_key) IN ('color', 'farbe', 'couleur')""")
 def n5_colours(spark: SparkSession, folder: str) -> DataFrame:
     """The colour every listing's colour attribute names."""
@@ -104,7 +105,7 @@ def _compact_sql(v: str) -> str:
 
 _CLASSIFIED = f"""
     WITH raw AS ({_ATTRIBUTES}), entered AS (SELECT * FROM raw UNION ALL SELECT id, found_at, 'size', raw_value FROM raw UNION ALL SELECT id, found_at, 'screen_size', raw_value FROM raw),
-    v AS (SELECT *, lower({_trim("raw_key")}) AS k, lower({_trim("raw_value")}) AS v, {_trim("raw_value")} AS bare FROM entered),
+    v AS (SELECT *, lower({trim_sql("raw_key")}) AS k, lower({trim_sql("raw_value")}) AS v, {trim_sql("raw_value")} AS bare FROM entered),
     t AS (SELECT *, {_compact_sql("v")} AS t, regexp_replace(regexp_replace(regexp_replace(replace(replace(v, ',', '.'), ' ', ''), 'zoll$', '"'), 'inche?s?$', '"'), '''''', '"', 'g') AS inch,
         TRY_CAST(nullif(regexp_extract({_compact_sql("v")}, '^[0-9]+'), '') AS INT) AS num FROM v),
     c AS (SELECT *, CASE WHEN num IS NOT NULL AND (t LIKE '%gb' OR t LIKE '%tb' OR (regexp_full_match(t, '[0-9]+') AND length(t) <= 4)) THEN true ELSE false END AS in_units,
@@ -131,7 +132,7 @@ def n8_attributes(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("*", A.classified_attribute(F.col("raw_key"), F.col("raw_value")).alias("a")).select("id", "found_at", "raw_key", "raw_value", "a.key", "a.value")
 
 
-@query(f"SELECT id, found_at, {_text('description')} AS text FROM listings")
+@query(f"SELECT id, found_at, {text_sql('description')} AS text FROM listings")
 def t1_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every listing's description on one line."""
     return _listings(spark, folder, T.normalized_text(F.col("description")).alias("text"))
@@ -147,24 +148,25 @@ _AMOUNT_SQL = r"""CASE WHEN instr(reverse(b), ',') > 0 AND (instr(reverse(b), '.
 _CODE_SQL = "CASE upper({0}) WHEN '' THEN 'EUR' WHEN '€' THEN 'EUR' WHEN 'EUR' THEN 'EUR' WHEN '$' THEN 'USD' WHEN 'US$' THEN 'USD' WHEN '£' THEN 'GBP' WHEN 'GBP' THEN 'GBP' ELSE upper({0}) END"
 
 
-def _price_sql(column: str, optional: bool) -> str:
+def price_sql(column: str, optional: bool, source: str = "listings") -> str:
+    """SQL of the price in a text column of rows with id and found_at."""
     group = lambda i: f"list_transform(regexp_extract_all({column}, '(?i){P.STRETCH}', {i}), lambda x: coalesce(x, ''))"
     return f"""
     WITH s AS (SELECT id, found_at, unnest({group(1)}) AS a, replace(replace(unnest({group(2)}), chr(160), ''), ' ', '') AS b, unnest({group(3)}) AS c, generate_subscripts({group(2)}, 1) AS i, row_number() OVER () AS r FROM
-            (SELECT *, row_number() OVER () AS r0 FROM listings)),
+            {source}),
         k AS (SELECT id, found_at, i, CASE WHEN a <> '' THEN a ELSE c END AS sign, CASE WHEN regexp_full_match({_AMOUNT_SQL}, '[0-9]+\\.?[0-9]*|\\.[0-9]+') THEN TRY_CAST({_AMOUNT_SQL} AS DOUBLE) END AS amount FROM s),
         best AS (SELECT id, found_at, arg_min(amount, (CASE WHEN sign <> '' THEN 0 ELSE 1000000 END) + i) AS amount, arg_min(sign, (CASE WHEN sign <> '' THEN 0 ELSE 1000000 END) + i) AS sign FROM k
             WHERE amount > 0 AND amount <= {P.MOST} AND (sign <> '' OR {optional}) GROUP BY ALL)
-    SELECT l.id, l.found_at, best.amount, CASE WHEN best.amount IS NOT NULL THEN {_CODE_SQL.format("best.sign")} END AS currency FROM listings l LEFT JOIN best ON best.id = l.id AND best.found_at = l.found_at"""
+    SELECT l.id, l.found_at, best.amount, CASE WHEN best.amount IS NOT NULL THEN {_CODE_SQL.format("best.sign")} END AS currency FROM {source} l LEFT JOIN best ON best.id = l.id AND best.found_at = l.found_at"""
 
 
-@query(_price_sql("title", False))
+@query(price_sql("title", False))
 def t3_title_prices(spark: SparkSession, folder: str) -> DataFrame:
     """The first price with a currency in every listing's title."""
     return _listings(spark, folder, P.price_in(F.col("title")).alias("p")).select("id", "found_at", "p.amount", "p.currency")
 
 
-@query(_price_sql("description", True))
+@query(price_sql("description", True))
 def t3_description_prices(spark: SparkSession, folder: str) -> DataFrame:
     """The first price in every listing's description, the currency being optional."""
     return _listings(spark, folder, P.price_in(F.col("description"), True).alias("p")).select("id", "found_at", "p.amount", "p.currency")
@@ -195,9 +197,9 @@ _SITES = r"(?i)\b(eBay\.?de|eBay|Cardmarket|Pokémon TCG|Pokemon TCG)\b"
 
 
 @query(f"""
-    SELECT id, found_at, CASE WHEN title IS NULL OR {_trim("title")} = '' THEN '' ELSE trim(left(q, {T.QUERY_LENGTH})) END AS search_query FROM (
-        SELECT id, found_at, title, trim({_text(f"regexp_replace(regexp_replace(part, '{_SITES}', '', 'g'), '(?i){T.PRICE_NOISE}', '', 'g')")}, '-|:,. ') AS q FROM (
-            SELECT id, found_at, title, coalesce(list_filter(list_transform(string_split(title, '|'), lambda x: {_trim("x")}), lambda x: x <> '')[1], title) AS part FROM listings))""")
+    SELECT id, found_at, CASE WHEN title IS NULL OR {trim_sql("title")} = '' THEN '' ELSE trim(left(q, {T.QUERY_LENGTH})) END AS search_query FROM (
+        SELECT id, found_at, title, trim({text_sql(f"regexp_replace(regexp_replace(part, '{_SITES}', '', 'g'), '(?i){T.PRICE_NOISE}', '', 'g')")}, '-|:,. ') AS q FROM (
+            SELECT id, found_at, title, coalesce(list_filter(list_transform(string_split(title, '|'), lambda x: {trim_sql("x")}), lambda x: x <> '')[1], title) AS part FROM listings))""")
 def t7_search_queries(spark: SparkSession, folder: str) -> DataFrame:
     """What to search for to find every listing's product."""
     return _listings(spark, folder, T.search_query(F.col("title")).alias("search_query"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallkit.functions.text import is_blank, literal_list, literal_map, trimmed
@@ -105,3 +107,15 @@ def classified_attribute(key: Column, value: Column) -> Column:
         .when(k.isin("size", "größe", "groeße"), sized)
         .otherwise(as_is)
     )
+
+
+def mapped_once(df: DataFrame, column: str, to: Callable[[Column], Column], name: str) -> DataFrame:
+    """``df`` with ``name``, the value of ``to`` for ``column``, worked out once for each different value.
+
+    For columns of few different values and costly functions. Null is a value too. Rows keep all their columns but one
+    that is called ``name``.
+    """
+    values = df.select(F.col(column).alias("_value")).distinct()
+    found = values.select("_value", to(F.col("_value")).alias("_found"))
+    joined = df.drop(name).join(found, F.col(column).eqNullSafe(F.col("_value")), "left")
+    return joined.withColumnRenamed("_found", name).drop("_value")

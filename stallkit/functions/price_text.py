@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stallkit.functions.text import CURRENCY, GROUPED, WS, is_blank
+from stallkit.functions.text import CURRENCY, GROUPED, WS, is_blank, once
 
 STRETCH = rf"(?:({CURRENCY}){WS}*)?({GROUPED}|\d+(?:[,\.]\d{{1,2}})?)(?:{WS}*({CURRENCY}))?"
+#: What a stretch can begin with, looked at first since most signs of a text are nothing of the kind.
+_START = r"(?=[\d€$£ECUGecug])"
 #: Amounts above it are no prices. A fixed value.
 MOST = 100_000
 
@@ -22,14 +24,17 @@ def parsed_amount(c: Column) -> Column:
 
     The last mark is the decimal one, unless it is a dot with three digits after it; other marks group.
     """
-    bare = F.regexp_replace(c, r"[\x{A0} ]", "")
+    return once(F.regexp_replace(c, r"[\x{A0} ]", ""), _amount)
+
+
+def _amount(bare: Column) -> Column:
     comma, dot = (F.length(bare) - F.length(F.substring_index(bare, mark, -1)) for mark in ",.")
     tail = F.length(F.substring_index(bare, ".", -1))
     decimal_comma = F.translate(F.replace(bare, F.lit("."), F.lit("")), ",", ".")
     no_comma = F.replace(bare, F.lit(","), F.lit(""))
     decimal_dot = F.when(tail == 3, F.replace(no_comma, F.lit("."), F.lit(""))).otherwise(no_comma)
     number = F.when(comma > dot, decimal_comma).when(dot > comma, decimal_dot).otherwise(bare)
-    return F.when(number.rlike(r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), number.try_cast("double"))
+    return once(number, lambda n: F.when(n.rlike(r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), n.try_cast("double")))
 
 
 def currency_code(c: Column) -> Column:
@@ -47,13 +52,13 @@ def price_in(c: Column, currency_optional: bool | Column = False) -> Column:
 
     Without one, and if the currency is optional, the first such amount in euros. Null if there is none.
     """
-    part = lambda i: F.regexp_extract_all(c, F.lit(f"(?iu){STRETCH}"), F.lit(i))
-    found = F.transform(
-        F.arrays_zip(part(1).alias("before"), part(2).alias("amount"), part(3).alias("after")),
-        lambda x: F.struct(parsed_amount(x["amount"]).alias("amount"), F.concat(x["before"], F.when(x["before"] == "", x["after"]).otherwise("")).alias("sign")),
-    )
-    usable = F.filter(found, lambda x: (x["amount"] > 0) & (x["amount"] <= MOST))
-    priced = F.get(F.filter(usable, lambda x: x["sign"] != ""), F.lit(0))
+    # One scan of the text finds the stretches; what is in one is read from it alone.
+    stretches = F.when(c.rlike("[0-9]"), F.regexp_extract_all(c, F.lit(f"(?iu){_START}{STRETCH}"), F.lit(0)))
+    part = lambda x, i: F.regexp_extract(x, f"(?iu){STRETCH}", i)
+    parts = F.transform(stretches, lambda x: F.struct(part(x, 1).alias("before"), part(x, 2).alias("amount"), part(x, 3).alias("after")))
+    read = lambda x: F.struct(parsed_amount(x["amount"]).alias("amount"), F.concat(x["before"], F.when(x["before"] == "", x["after"]).otherwise("")).alias("sign"))
+    usable = F.filter(F.transform(parts, read), lambda x: (x["amount"] > 0) & (x["amount"] <= MOST))
     optional = F.lit(currency_optional) if isinstance(currency_optional, bool) else currency_optional
-    best = F.coalesce(priced, F.when(optional, F.get(usable, F.lit(0))))
-    return F.when(best.isNotNull(), F.struct(best["amount"].alias("amount"), currency_code(best["sign"]).alias("currency")))
+    first = lambda u: F.coalesce(F.get(F.filter(u, lambda x: x["sign"] != ""), F.lit(0)), F.when(optional, F.get(u, F.lit(0))))
+    told = lambda best: F.when(best.isNotNull(), F.struct(best["amount"].alias("amount"), currency_code(best["sign"]).alias("currency")))
+    return once(once(usable, first), told)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (trimmed(c) == "")
 
 
+def once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a costly value that it names more than once; the value is worked out once a row."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def literal_map(entries: list[tuple[str, str]]) -> Column:
     """A map literal, built as text since hundreds of separate literals are slow to build."""
     return F.expr("map(" + ", ".join(x for kv in entries for x in map(sql_text, kv)) + ")")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stallkit.functions.links import marketplace, resolved_urls, url_host
 from stallkit.functions.price_text import names_currency, price_in
 from stallkit.functions.text import first_non_empty, is_blank, search_query
+from stallkit.session import Workspace
 
 #: How many are kept, and the least sure price that is taken unasked. Fixed values.
 IMAGES, STATIC_CANDIDATES, RENDERED_CANDIDATES, PREVIEW = 6, 18, 64, 48
@@ -203,12 +204,14 @@ def _response(pages: DataFrame, parsed: DataFrame, lists: DataFrame, selected: C
 
 def previews(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     """The preview of every static page. ``pages`` have page_id, url and selected_selector; ``parsed`` is of the same pages."""
+    parsed = Workspace(pages.sparkSession, "pages").cut(parsed, "parsed")
     lists = candidate_lists(ranked_candidates(price_candidates(parsed)))
     return _response(pages, parsed, lists, selected_price(F.col("candidates"), F.col("selected_selector")), [])
 
 
 def rendered_previews(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     """The preview of every rendered page. ``pages`` have also additional_selectors and nodes, the rendered nodes."""
+    parsed = Workspace(pages.sparkSession, "pages").cut(parsed, "parsed")
     nodes = pages.select("page_id", F.posexplode("nodes").alias("pos", "n")).select("page_id", "pos", "n.*")
     lists = candidate_lists(merged_candidates(ranked_candidates(price_candidates(parsed)), nodes))
     one = selected_price(F.col("candidates"), F.col("selected_selector"))

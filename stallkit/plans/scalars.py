@@ -50,7 +50,8 @@ def _values(entries: list[tuple[str, str]]) -> str:
     FROM (SELECT product_seo_id, listing_id, condition, lower({trim_sql("condition")}) AS v FROM product_listings), (SELECT {sql_map(CONDITION_ENTRIES)} AS m)""")
 def n1_conditions(spark: SparkSession, folder: str) -> DataFrame:
     """The canonical condition of every product listing."""
-    return table(spark, folder, "product_listings").select("product_seo_id", "listing_id", "condition", A.normalized_condition(F.col("condition")).alias("normalized"))
+    rows = table(spark, folder, "product_listings").select("product_seo_id", "listing_id", "condition")
+    return A.mapped_once(rows, "condition", A.normalized_condition, "normalized")
 
 
 @query(f"SELECT seo_id, condition, coalesce({_sign('lower(condition)')} AND condition IS NOT NULL, false) AS likely FROM products")

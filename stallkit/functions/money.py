@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stallkit.functions.folding import without_accents
+
 #: Spellings of each currency, in lower case. Fixed values.
 SPELLINGS = {
     "EUR": ["eur", "euro", "euros", "€"],
@@ -20,16 +22,16 @@ HUNDREDTHS = {"EUR": ["cent", "cents", "ct", "eurocent", "eurocents", "eur-cent"
 THOUSAND_MARK = r"^(?:k|tsd\.?|tausend|thousand|mille|t)\s*"
 SCALES = {"unit": 1.0, "cent": 0.01, "thousand": 1000.0}
 
-_NAME = "|".join(sorted({s.replace("$", r"\$") for names in [*SPELLINGS.values(), *HUNDREDTHS.values()] for s in names if s not in ("p", "gr", "rp")}, key=len, reverse=True))
+_NAME = "|".join(sorted({without_accents(s).replace("$", r"\$") for names in [*SPELLINGS.values(), *HUNDREDTHS.values()] for s in names if s not in ("p", "gr", "rp")}, key=len, reverse=True))
 _TOKEN = rf"(?:(?:tsd\.?\s*|tausend\s*|k|t)?(?:{_NAME}))"
 _AMOUNT = r"\d{1,3}(?:[ .,'’]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?"
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: A currency and an amount, in either order.
 _MONEY = rf"(?:({_TOKEN})\.?\s*(?<![\d.,])({_AMOUNT})(?!\d)|(?<![\d.,])({_AMOUNT})\s*({_TOKEN}){_END})"
-_CUES = r"(?:fest)?preis|price|prix|asking(?: price)?|vb|vhb|fp|ich hätte gern|je demande|cena|pris"
+_CUES = without_accents(r"(?:fest)?preis|price|prix|asking(?: price)?|vb|vhb|fp|ich hätte gern|je demande|cena|pris")
 #: A price with a word before it that asks for it, or one after it that offers to bargain.
 ASKING_BEFORE = rf"(?iu){_EDGE}(?:{_CUES})\s*[:=]?\s*{_MONEY}"
-ASKING_AFTER = rf"(?iu){_EDGE}{_MONEY}\.?\s*(?:or near offer|o\.?n\.?o|obo|à débattre|vb|vhb|verhandlungsbasis|negotiable){_END}"
+ASKING_AFTER = rf"(?iu){_EDGE}{_MONEY}\.?\s*(?:or near offer|o\.?n\.?o|obo|a debattre|vb|vhb|verhandlungsbasis|negotiable){_END}"
 #: A title ends with its price, if it has one.
 IN_TITLE = rf"(?iu){_EDGE}{_MONEY}\.?\s*$"
 #: Words that name the currency of the stated number without repeating the number.
@@ -37,10 +39,14 @@ STATED_UNIT = rf"(?iu){_EDGE}(?:preis|price|prix|angaben?|betrag|cena|priset|amo
 ONLY_UNIT = rf"(?iu){_EDGE}({_TOKEN})\s+(?:only|nur|seulement){_END}"
 
 
+#: Words without which the patterns above fit nowhere; looked for first, since that is quick.
+STATED_HINT, ONLY_HINT = r"(?i)preis|price|prix|angabe|betrag|cena|priset|amount|montant", r"(?i)only|nur|seulement"
+
+
 def _lookup_map() -> str:
     """SQL of the map from spellings to ``CODE|scale``; as text, since thousands of separate literals are slow to build."""
-    rows = [(s, f"{code}|unit") for code, names in SPELLINGS.items() for s in names] + [(s, f"{code}|cent") for code, names in HUNDREDTHS.items() for s in names]
-    return f"map({', '.join(repr(x) for row in rows for x in row)})"
+    rows = [(without_accents(s), f"{code}|unit") for code, names in SPELLINGS.items() for s in names] + [(without_accents(s), f"{code}|cent") for code, names in HUNDREDTHS.items() for s in names]
+    return f"map({', '.join(repr(x) for row in dict(reversed(rows)).items() for x in row)})"
 
 
 def unit_of(token: Column) -> Column:
@@ -73,10 +79,11 @@ def money_in(stretch: Column) -> Column:
 
 
 def asking_price(title: Column, description: Column) -> Column:
-    """The stretch that states the asking price; shipping costs and former prices have no such words."""
-    return F.coalesce(first_money(description, ASKING_BEFORE), first_money(description, ASKING_AFTER), first_money(title, IN_TITLE))
+    """The stretch that states the asking price; shipping costs and former prices have no such words. Only texts with digits are searched."""
+    found = [F.when(c.rlike("[0-9]"), first_money(c, p)) for c, p in ((description, ASKING_BEFORE), (description, ASKING_AFTER), (title, IN_TITLE))]
+    return F.coalesce(*found)
 
 
 def stated_unit(text: Column) -> Column:
     """The spelling by which the text names the currency of its price, or null."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (STATED_UNIT, ONLY_UNIT)])
+    return F.coalesce(*[F.when(text.rlike(hint), F.nullif(F.regexp_extract(text, p, 1), F.lit(""))) for p, hint in ((STATED_UNIT, STATED_HINT), (ONLY_UNIT, ONLY_HINT))])

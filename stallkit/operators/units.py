@@ -10,6 +10,7 @@ the probability, and a flag where that is under ``SURE``.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,12 +22,16 @@ from pyspark.sql import types as T
 from stallkit.session import Workspace
 
 BIN = 0.02
-ROUNDS = 8
+#: Far more rounds than any fit seen needs; whoever reaches it is told.
+MOST_ROUNDS = 100
+SETTLED = 1e-3
 SURE = 0.95
-#: Odds against a unit that the evidence doesn't name but leaves possible.
-UNNAMED = 1e-3
+#: Odds against a unit that the evidence doesn't name, where it leaves the unit open, and where it names another one.
+UNNAMED, DENIED = 1e-3, 1e-9
 #: Least share of an option.
 LEAST = 1e-6
+#: Density of numbers that fit no curve, so that an outlier speaks for no unit over all evidence.
+OUTLIER = 1e-4
 _MIN_SD, _START_SD = 0.15, 0.6
 
 
@@ -42,11 +47,16 @@ def candidates(units: DataFrame, scales: dict[str, float]) -> list[tuple[str, st
 
 
 def _posterior(pdf: pd.DataFrame, options: list, shares: dict[str, float]) -> np.ndarray:
-    """Probability of every option (columns) for every row; 0 throughout where evidence leaves none."""
+    """Probability of every option (columns) for every row; 0 throughout for a code that no option has.
+
+    Shares of the options, how well the number in the option's common unit fits the group's curve, and the odds that the
+    evidence speaks of another option are multiplied.
+    """
     codes, scales, shifts = (np.array(x) for x in zip(*options, strict=True))
     code, scale = pdf["code"].to_numpy(object), pdf["scale"].to_numpy(object)
     no_code, no_scale = pd.isna(code)[:, None], pd.isna(scale)[:, None]
-    ok = (no_code | (code[:, None] == codes)) & (no_scale | (scale[:, None] == scales))
+    ok = (no_code | np.isin(code.astype(str), codes)[:, None]) & np.ones(len(options), bool)
+    denied = math.log(DENIED) * (~(no_code | (code[:, None] == codes)) + ~(no_scale | (scale[:, None] == scales)))
     if shares:
         kinds = pdf["kind"].to_numpy(object)
         prior = np.zeros(ok.shape)
@@ -56,7 +66,7 @@ def _posterior(pdf: pd.DataFrame, options: list, shares: dict[str, float]) -> np
         prior = np.where((scales == "unit") & (~no_code | (shifts == 0)), 0.0, math.log(UNNAMED))
     x, sd = pdf["x"].to_numpy(float)[:, None], pdf["sd"].to_numpy(float)[:, None]
     z = (x + shifts - pdf["m"].to_numpy(float)[:, None]) / sd
-    like = np.where(ok, prior + np.nan_to_num(-z * z / 2 - np.log(sd)), -np.inf)
+    like = np.where(ok, denied + prior + np.logaddexp(np.nan_to_num(-z * z / 2 - np.log(sd)), math.log(OUTLIER)), -np.inf)
     top = like.max(axis=1, keepdims=True)
     e = np.where(ok, np.exp(like - np.where(np.isfinite(top), top, 0)), 0)
     return e / np.maximum(e.sum(axis=1, keepdims=True), 1e-300)
@@ -69,8 +79,8 @@ def _kind() -> Column:
 def assign_units(df: DataFrame, value: str, group: str, code: str, scale: str, options: list[tuple[str, str, float]], keep: Sequence[str]) -> DataFrame:
     """``keep`` columns with ``unit_code, unit_scale, probability, uncertain, common``.
 
-    ``code`` and ``scale`` are what evidence says of a row, null where it says nothing. A named code excludes the others;
-    a named scale excludes the others too. Without any evidence every option competes, by shares fitted to such rows.
+    ``code`` and ``scale`` are what evidence says of a row, null where it says nothing. Options it does not name keep small
+    odds; where it says nothing of a part, the options compete by shares fitted to such rows and by the group's curve.
     A null, NaN or non-positive value has no magnitude: its unit is what evidence and shares say, its ``common`` is null.
     A code that no option has gives null units. ``keep`` must not use the names of the result.
     """
@@ -86,7 +96,7 @@ def assign_units(df: DataFrame, value: str, group: str, code: str, scale: str, o
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 p = _posterior(pdf, options, shares) * pdf["w"].to_numpy(float)[:, None]
-                i, j = np.nonzero(p > 0)
+                i, j = np.nonzero(p > 1e-9)
                 y = pdf["x"].to_numpy(float)[i] + np.array([o[2] for o in options])[j]
                 out = pd.DataFrame({"g": pdf["g"].to_numpy(object)[i], "kind": pdf["kind"].to_numpy(object)[i], "u": np.array([f"{o[0]}|{o[1]}" for o in options])[j], "r": p[i, j]})
                 yield out.assign(ry=out["r"] * y, ryy=out["r"] * y * y).groupby(["g", "kind", "u"], as_index=False).sum()
@@ -99,7 +109,7 @@ def assign_units(df: DataFrame, value: str, group: str, code: str, scale: str, o
     start = hist.select("g").distinct().join(known.groupBy("g").agg((F.sum("wy") / F.sum("w")).alias("m")), "g", "left")
     centres = ws.cut(start.select("g", F.coalesce("m", F.lit(2.0 if overall is None else overall)).alias("m"), F.lit(_START_SD).alias("sd")), "centres0")
     shares: dict[str, float] = {}
-    for turn in range(ROUNDS):
+    for turn in range(MOST_ROUNDS):
         parts = hist.join(centres, "g").mapInPandas(step(shares), "g string, kind string, u string, r double, ry double, ryy double")
         parts = ws.cut(parts.groupBy("g", "kind", "u").agg(F.sum("r").alias("r"), F.sum("ry").alias("ry"), F.sum("ryy").alias("ryy")), f"parts{turn}")
         mean = F.sum("ry") / F.sum("r")
@@ -113,8 +123,10 @@ def assign_units(df: DataFrame, value: str, group: str, code: str, scale: str, o
         before, shares = shares, {f"{t['kind']}|{t['u']}": max(LEAST, t["r"] / whole[t["kind"]]) for t in totals}
         ws.drop(old)
         ws.drop(f"parts{turn}")
-        if before and all(abs(v - before.get(k, 0)) < 1e-4 for k, v in shares.items()):
+        if not totals or before and all(abs(v - before.get(k, 0)) < SETTLED for k, v in shares.items()):
             break
+    else:
+        warnings.warn(f"shares of units still move after {MOST_ROUNDS} rounds", RuntimeWarning, stacklevel=2)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -45,19 +45,19 @@ def priced_listings(listings: DataFrame, rates: DataFrame) -> DataFrame:
     still missing the mixture of the price's category decides. ``common`` is the price in euros, null without any price;
     ``hinted`` tells whether anything but the number itself speaks for the unit. Copies of an id give one row.
     """
-    one = listings.select("id", "title", "description", "price", "currency", "categories").dropDuplicates(["id"])
-    one = one.withColumn("title", fold_for_match(F.col("title"))).withColumn("text", fold_for_match(F.col("description")))
+    one = listings.select("id", "price", "categories", fold_for_match(F.col("title")).alias("title"), fold_for_match(F.col("description")).alias("text"), fold_for_match(F.col("currency")).alias("currency"))
     title, text = F.col("title"), F.col("text")
     read = one.select(
         "id",
         F.when((F.col("price") > 0) & ~F.isnan("price"), F.col("price")).alias("stored"),
         F.when(F.col("price").isNull() | F.isnan("price"), F.lit(True)).otherwise(False).alias("blank_price"),
-        unit_of(fold_for_match(F.col("currency"))).alias("told"),
+        "currency",
         F.get(F.reverse("categories"), F.lit(0)).alias("category"),
         asking_price(title, text).alias("asking"),
         F.coalesce(stated_unit(text), stated_unit(title)).alias("named"),
     )
-    read = Workspace(listings.sparkSession, "asked").cut(read, "read")
+    # Copies go once the texts are read: what is shuffled is a few words a listing.
+    read = Workspace(listings.sparkSession, "asked").cut(read.dropDuplicates(["id"]), "read").withColumn("told", unit_of(F.col("currency")))
     read = read.withColumn("asked", money_in(F.col("asking")))
     read = read.withColumn("asked_unit", unit_of(F.col("asked.token"))).withColumn("named_unit", unit_of(F.col("named")))
     ratio = F.log10(F.col("stored")) - F.log10(F.when(F.col("asked.amount") > 0, F.col("asked.amount")))

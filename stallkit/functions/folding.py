@@ -37,4 +37,5 @@ def fold_for_match(c: Column) -> Column:
     Composed and decomposed letters come out alike. Null stays null.
     """
     plain = F.translate(c, _WIDE + _SPACES + LOOKALIKE_FROM + ACCENTED_FROM, _ASCII + " " * len(_SPACES) + LOOKALIKE_TO + ACCENTED_TO)
-    return F.regexp_replace(plain, INVISIBLE, "")
+    # Texts of ASCII alone have nothing to fold.
+    return F.when(c.rlike(r"[^\x00-\x08\x0a-\x7f]"), F.regexp_replace(plain, INVISIBLE, "")).otherwise(c)

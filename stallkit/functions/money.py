@@ -29,9 +29,10 @@ _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: A currency and an amount, in either order.
 _MONEY = rf"(?:({_TOKEN})\.?\s*(?<![\d.,])({_AMOUNT})(?!\d)|(?<![\d.,])({_AMOUNT})\s*({_TOKEN}){_END})"
 _CUES = without_accents(r"(?:fest)?preis|price|prix|asking(?: price)?|vb|vhb|fp|ich hätte gern|je demande|cena|pris")
+_OFFERS = r"or near offer|o\.?n\.?o|obo|a debattre|vb|vhb|verhandlungsbasis|negotiable"
 #: A price with a word before it that asks for it, or one after it that offers to bargain.
 ASKING_BEFORE = rf"(?iu){_EDGE}(?:{_CUES})\s*[:=]?\s*{_MONEY}"
-ASKING_AFTER = rf"(?iu){_EDGE}{_MONEY}\.?\s*(?:or near offer|o\.?n\.?o|obo|a debattre|vb|vhb|verhandlungsbasis|negotiable){_END}"
+ASKING_AFTER = rf"(?iu){_EDGE}{_MONEY}\.?\s*(?:{_OFFERS}){_END}"
 #: A title ends with its price, if it has one.
 IN_TITLE = rf"(?iu){_EDGE}{_MONEY}\.?\s*$"
 #: Words that name the currency of the stated number without repeating the number.
@@ -79,8 +80,8 @@ def money_in(stretch: Column) -> Column:
 
 
 def asking_price(title: Column, description: Column) -> Column:
-    """The stretch that states the asking price; shipping costs and former prices have no such words. Only texts with digits are searched."""
-    found = [F.when(c.rlike("[0-9]"), first_money(c, p)) for c, p in ((description, ASKING_BEFORE), (description, ASKING_AFTER), (title, IN_TITLE))]
+    """The stretch that states the asking price; shipping costs and former prices have no such words. Texts without such a word are not searched."""
+    found = [F.when(c.rlike(hint), first_money(c, p)) for c, p, hint in ((description, ASKING_BEFORE, f"(?i){_CUES}"), (description, ASKING_AFTER, f"(?i){_OFFERS}"), (title, IN_TITLE, "[0-9]"))]
     return F.coalesce(*found)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallkit.functions.folding import fold_for_match
 from stallkit.functions.money import SCALES, asking_price, money_in, stated_unit, unit_of
+from stallkit.functions.text import once
 from stallkit.operators.skew import balanced_counts
 from stallkit.operators.units import assign_units, candidates
 from stallkit.plans.registry import query
@@ -37,6 +38,19 @@ def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
 _SAME = 0.004
 
 
+def _stated(u: Column, stored: Column, blank: Column) -> Column:
+    """``struct<number, from_text, code, scale>`` of the units ``told`` by the currency, ``asked`` and ``named`` by the texts."""
+    ratio = F.log10(stored) - F.log10(F.when(u["amount"] > 0, u["amount"]))
+    close = lambda at: F.coalesce(F.abs(ratio - at) < _SAME, F.lit(False))
+    in_units = F.coalesce(u["asked"]["scale"] == "unit", F.lit(False))
+    seen = F.when(in_units & close(2), "cent").when(in_units & close(-3), "thousand").when(close(0), u["asked"]["scale"])
+    from_text = blank & u["amount"].isNotNull()
+    code = F.coalesce(u["told"]["code"], F.when(from_text | seen.isNotNull(), u["asked"]["code"]), u["named"]["code"], u["asked"]["code"])
+    odd = lambda unit: F.when(unit["scale"] != "unit", unit["scale"])
+    scale = F.when(from_text, F.coalesce(u["asked"]["scale"], u["told"]["scale"])).otherwise(F.coalesce(odd(u["told"]), seen, u["told"]["scale"], odd(u["named"])))
+    return F.struct(F.when(from_text, u["amount"]).otherwise(stored).alias("number"), from_text.alias("from_text"), code.alias("code"), scale.alias("scale"))
+
+
 def priced_listings(listings: DataFrame, rates: DataFrame) -> DataFrame:
     """Every listing's asking price in euros: ``id, unit_code, unit_scale, probability, uncertain, common, hinted``.
 
@@ -57,17 +71,10 @@ def priced_listings(listings: DataFrame, rates: DataFrame) -> DataFrame:
         F.coalesce(stated_unit(text), stated_unit(title)).alias("named"),
     )
     # Copies go once the texts are read: what is shuffled is a few words a listing.
-    read = Workspace(listings.sparkSession, "asked").cut(read.dropDuplicates(["id"]), "read").withColumn("told", unit_of(F.col("currency")))
-    read = read.withColumn("asked", money_in(F.col("asking")))
-    read = read.withColumn("asked_unit", unit_of(F.col("asked.token"))).withColumn("named_unit", unit_of(F.col("named")))
-    ratio = F.log10(F.col("stored")) - F.log10(F.when(F.col("asked.amount") > 0, F.col("asked.amount")))
-    close = lambda at: F.coalesce(F.abs(ratio - at) < _SAME, F.lit(False))
-    unit_text = F.coalesce(F.col("asked_unit.scale") == "unit", F.lit(False))
-    seen = F.when(unit_text & close(2), "cent").when(unit_text & close(-3), "thousand").when(close(0), F.col("asked_unit.scale"))
-    use_text = F.col("blank_price") & F.col("asked.amount").isNotNull()
-    code = F.coalesce("told.code", F.when(use_text | seen.isNotNull(), F.col("asked_unit.code")), "named_unit.code", "asked_unit.code")
-    scale = F.when(use_text, F.coalesce("asked_unit.scale", "told.scale")).otherwise(F.coalesce(F.when(F.col("told.scale") != "unit", F.col("told.scale")), seen, "told.scale", F.when(F.col("named_unit.scale") != "unit", F.col("named_unit.scale"))))
-    rows = read.select("id", "category", F.when(use_text, F.col("asked.amount")).otherwise(F.col("stored")).alias("number"), use_text.alias("from_text"), code.alias("code"), scale.alias("scale"))
+    read = Workspace(listings.sparkSession, "asked").cut(read.dropDuplicates(["id"]), "read")
+    spelled = F.struct(unit_of(F.col("currency")).alias("told"), F.when(F.col("asking").isNotNull(), money_in(F.col("asking"))).alias("asked"), F.when(F.col("named").isNotNull(), unit_of(F.col("named"))).alias("named"))
+    units = once(spelled, lambda s: F.struct(s["told"].alias("told"), s["asked"]["amount"].alias("amount"), F.when(s["asked"].isNotNull(), unit_of(s["asked"]["token"])).alias("asked"), s["named"].alias("named")))
+    rows = read.select("id", "category", once(units, lambda u: _stated(u, F.col("stored"), F.col("blank_price"))).alias("s")).select("id", "category", "s.*")
     rows = rows.withColumn("hinted", F.col("code").isNotNull())
     return assign_units(rows, "number", "category", "code", "scale", candidates(rates.select("code", F.col("eur_per_unit").alias("factor")), SCALES), ["id", "from_text", "hinted"])
 

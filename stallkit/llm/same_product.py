@@ -1,13 +1,21 @@
-"""Listings that offer the same product, by the traits they state: model, measure and colour.
+"""Listings that offer the same product, by terms and pairs that reinforce each other.
 
 One pass over titles and attributes, brought to one consistent form first, takes out model codes, words, measures in base
-units and colours. A code names its model in products; without one the model's line name does, and a misspelled line name
-is matched by the forms that up to two left-out letters give (so no word is held against every model). Traits a listing
-leaves open follow from products where the model's variants leave one choice only. Parts and accessories are left out.
+units and colours. Those are a listing's terms; a product variant has the same kinds of terms. Listings with equal terms
+are one signature. A signature and a variant that share a code or a line name are a pair; misspelled line names are found
+by the forms that up to two left-out letters give, so no word is held against every name.
+
+Terms and pairs are then updated in turn until the terms' weights settle: a pair scores the share of its signature's term
+weights that its variant has too, and a term weighs the mean score of the pairs whose signature has it, counting pairs
+whose variant lacks it as 0. Terms that go with the right variants gain, words that fit many models lose. The variant of
+the best score above ``ACCEPT`` is a signature's; if several are as good their model must be one. Listings of one model,
+measure and colour are a class; a trait that a listing states is its own, others follow from its best variants. Parts and
+accessories are left out.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -15,9 +23,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stallkit.llm.unicode_fold import fold_array
+from stallkit.session import Workspace
+
+#: Least score of a pair, and what the weights may still move by when they have settled.
+ACCEPT, SETTLED = 0.5, 1e-3
+#: Scores that differ by less are equal.
+EQUAL = 1e-9
+#: Far more rounds than any input seen needs; whoever reaches it is told.
+MOST_ROUNDS = 60
+#: Words shorter than this are not taken for misspelled names, and more edits than this are not taken for a slip.
+NEAR_LETTERS, NEAR_EDITS = 6, 3
 
 #: Units and their size in the base unit of their dimension: GB, g, mm, W, ml. Fixed values.
 UNITS = {
@@ -98,65 +115,136 @@ def read_traits(df: DataFrame) -> DataFrame:
     return df.select("id", F.col("title"), F.coalesce(values, F.lit("")).alias("values")).mapInArrow(_read, FOUND)
 
 
-@F.udf(T.ArrayType(T.StringType()))
-def _shortened(word):
-    """A word and what is left of it without one or two letters."""
-    return sorted({"".join(c for i, c in enumerate(word) if i not in out) for k in range(3) for out in combinations(range(len(word)), k)})
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with what is left of each without one or two letters."""
+    for batch in batches:
+        out = [(w, sorted({"".join(c for i, c in enumerate(w) if i not in gone) for k in range(3) for gone in combinations(range(len(w)), k)})) for w in batch.column(0).to_pylist()]
+        yield pa.record_batch([pa.array([w for w, fs in out for _ in fs], pa.string()), pa.array([f for _, fs in out for f in fs], pa.string())], names=["word", "form"])
+
+
+def shortened(words: DataFrame) -> DataFrame:
+    """``word, form`` of a frame with one column of words."""
+    return words.mapInArrow(_forms, "word string, form string")
+
+
+def _terms_of(kinds: Column, measures_of: dict[str, Column], colours_of: Column) -> Column:
+    def marked(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda x: F.concat(F.lit(f"{kind}:"), x.cast("string")))
 
+    return F.array_distinct(F.concat(kinds, *[marked(d, m) for d, m in measures_of.items()], marked("colour", colours_of)))
 
-def _models(products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Models by code and line name, and their variants with dimension, measure and colour."""
+
+def variants_of(products: DataFrame) -> DataFrame:
+    """``v, code, line, brand, dim, measure, colour, terms`` of every product whose name ends in a line name and a model code."""
     parts = F.split(F.lower("name"), " ")
     slug = F.split("seo_id", "-")
-    named = products.where(F.col("name").isNotNull() & (F.size(parts) > 2)).select(
+    named = products.where(F.col("name").isNotNull() & F.col("seo_id").isNotNull() & (F.size(parts) > 2)).select(
         F.col("seo_id").alias("id"), F.lit("").alias("title"), "attributes", F.regexp_replace(parts[F.size(parts) - 1], "[^a-z0-9]", "").alias("code"), parts[F.size(parts) - 2].alias("line"), parts[0].alias("brand"),
-        F.element_at(slug, -2).cast("bigint").alias("slug_measure"), F.element_at(slug, -1).alias("slug_colour"), F.element_at("category", -1).alias("kind"))
+        F.try_element_at(slug, F.lit(-2)).try_cast("bigint").alias("slug_measure"), F.element_at(slug, -1).alias("slug_colour"), F.try_element_at("category", F.lit(-1)).alias("kind"))
     stated = read_traits(named).select("id", *DIMENSIONS, "colours")
     dim = F.coalesce(*[F.when(F.size(d) == 1, F.lit(d)) for d in DIMENSIONS])
     value = F.coalesce(*[F.when(F.size(d) == 1, F.col(d)[0]) for d in DIMENSIONS])
-    rows = named.drop("title", "attributes").join(stated, "id").select("code", "line", "brand", "kind", "slug_measure", "slug_colour", dim.alias("dim"), value.alias("measure"), F.when(F.size("colours") == 1, F.col("colours")[0]).alias("colour"))
-    return rows, rows.select("code", "line", "brand").distinct()
+    rows = named.drop("title", "attributes").join(stated, "id").select("id", "code", "line", "brand", "kind", "slug_measure", "slug_colour", dim.alias("dim"), value.alias("measure"), F.when(F.size("colours") == 1, F.col("colours")[0]).alias("colour"))
+    kind_dim = rows.where("dim is not null").groupBy("kind").agg(F.mode("dim").alias("kind_dim"))
+    # Keys of products state lengths in the unit usual for their kind; those with attributes show which.
+    ratio = rows.where("dim = 'mm' and slug_measure > 0").groupBy("kind").agg(F.median(F.col("measure") / F.col("slug_measure")).alias("r"))
+    ratio = ratio.select("kind", F.array_min(F.array(*[F.struct(F.abs(F.log(F.col("r") / x)), F.lit(x)) for x in (1.0, 10.0, 25.4)]))["col2"].alias("per_unit"))
+    known = rows.join(kind_dim, "kind", "left").join(ratio, "kind", "left")
+    # All variants of a model are measured alike.
+    code_dim = known.groupBy("code").agg(F.mode(F.coalesce("dim", "kind_dim")).alias("code_dim"))
+    known = known.drop("dim").join(code_dim.withColumnRenamed("code_dim", "dim"), "code", "left")
+    from_slug = F.floor(F.col("slug_measure") * F.coalesce("per_unit", F.lit(1.0)) + 0.5)
+    known = known.withColumn("measure", F.coalesce("measure", from_slug)).withColumn("colour", F.coalesce("colour", "slug_colour"))
+    names = F.array(F.concat(F.lit("code:"), "code"), F.concat(F.lit("line:"), "line"), F.concat(F.lit("brand:"), "brand"))
+    traits_of = F.array_compact(F.array(F.concat("dim", F.lit(":"), F.col("measure").cast("string")), F.concat(F.lit("colour:"), "colour")))
+    known = known.groupBy("id").agg(*[F.first(c).alias(c) for c in ("code", "line", "brand", "dim", "measure", "colour")])
+    return known.select(F.col("id").alias("v"), "code", "line", "brand", "dim", "measure", "colour", F.array_distinct(F.concat(names, traits_of)).alias("terms"))
+
+
+def signatures(read: DataFrame, variants: DataFrame) -> DataFrame:
+    """``id, terms`` of every listing with a term that names a model: its codes, lines, brands, measures and colours."""
+    words = read.select("id", F.explode("words").alias("word"))
+    lines = variants.select(F.col("line").alias("word"), F.concat(F.lit("line:"), "line").alias("term")).distinct()
+    brands = variants.select(F.col("brand").alias("word"), F.concat(F.lit("brand:"), "brand").alias("term")).distinct()
+    coded = read.select("id", F.explode("codes").alias("code")).join(variants.select("code").distinct(), "code").select("id", F.concat(F.lit("code:"), "code").alias("term"))
+    named = coded.unionByName(words.join(lines, "word").select("id", "term"))
+    # Words of listings that name no model may be misspelled line names; each different word is looked at once.
+    left = words.where(F.length("word") >= NEAR_LETTERS).join(named.select("id").distinct(), "id", "left_anti")
+    forms = shortened(left.select("word").distinct())
+    near = forms.join(shortened(lines.select("word")).select(F.col("word").alias("line"), "form"), "form").select("word", "line").distinct()
+    near = near.withColumn("edits", F.levenshtein("word", "line")).where(F.col("edits") <= NEAR_EDITS)
+    near = near.groupBy("word").agg(F.collect_list(F.struct("edits", "line")).alias("e")).withColumn("least", F.array_min(F.transform("e", lambda x: x["edits"])))
+    near = near.select("word", F.explode(F.filter("e", lambda x: x["edits"] == F.col("least"))).alias("x")).select("word", F.concat(F.lit("line:"), "x.line").alias("term"))
+    named = named.unionByName(left.join(near, "word").select("id", "term"))
+    every = named.unionByName(words.join(brands, "word").select("id", "term"))
+    terms = every.groupBy("id").agg(F.collect_set("term").alias("kinds")).where(F.exists("kinds", lambda t: ~t.startswith("brand:")))
+    both = terms.join(read.select("id", "colours", *DIMENSIONS), "id")
+    return both.select("id", F.array_sort(_terms_of(F.col("kinds"), {d: F.col(d) for d in DIMENSIONS}, F.col("colours"))).alias("terms"))
+
+
+def pair_links(signs: DataFrame, variants: DataFrame) -> DataFrame:
+    """``sig, v, n, term, shared`` of every term of every pair: a signature with a variant of which it has the code or line."""
+    names = lambda t: F.filter(t, lambda x: x.startswith("code:") | x.startswith("line:"))
+    a = signs.select("sig", "n", "terms", F.explode(names(F.col("terms"))).alias("name"))
+    b = variants.select("v", F.col("terms").alias("v_terms"), F.explode(names(F.col("terms"))).alias("name"))
+    pairs = a.join(b, "name").dropDuplicates(["sig", "v"])
+    return pairs.select("sig", "v", "n", "v_terms", F.explode("terms").alias("term")).select("sig", "v", "n", "term", F.array_contains("v_terms", F.col("term")).alias("shared"))
+
+
+def pair_scores(links: DataFrame, weights: DataFrame) -> DataFrame:
+    """``sig, v, s``: the share of the weight of a signature's terms that a variant has too."""
+    held = links.join(weights, "term").groupBy("sig", "v").agg(F.sum(F.when(F.col("shared"), F.col("x")).otherwise(0.0)).alias("a"), F.sum("x").alias("b"))
+    return held.select("sig", "v", F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0).alias("s"))
+
+
+def reinforced(links: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
+    """``term, x``: weights of terms when they have settled, and the number of rounds that took."""
+    weights = ws.cut(links.select("term").distinct().withColumn("x", F.lit(1.0)), "weights0")
+    for turn in range(1, MOST_ROUNDS + 1):
+        scored = links.join(pair_scores(links, weights), ["sig", "v"])
+        mean = F.sum(F.when(F.col("shared"), F.col("s")).otherwise(0.0) * F.col("n")) / F.sum("n")
+        new = ws.cut(scored.groupBy("term").agg(mean.alias("x")), f"weights{turn}")
+        moved = new.join(weights.withColumnRenamed("x", "before"), "term").agg(F.max(F.abs(F.col("x") - F.col("before")))).first()[0]
+        ws.drop(f"weights{turn - 1}")
+        weights = new
+        if moved is None or moved < SETTLED:
+            return weights, turn
+    warnings.warn(f"weights still move by {moved:.2g} after {MOST_ROUNDS} rounds", RuntimeWarning, stacklevel=2)
+    return weights, MOST_ROUNDS
 
 
 def classes(listings: DataFrame, products: DataFrame) -> DataFrame:
-    """Model, measure and colour of every ungrouped listing that offers a product: ``id, code, dim, measure, colour``.
+    """Model, measure and colour of every ungrouped listing that offers a product: ``id, code, dim, measure, colour, score``.
 
-    Traits that neither the listing nor products settle are null; parts, and listings of no known model, are left out.
+    Traits that neither the listing nor its best variants settle are null; parts, and listings whose terms lead to no
+    model or to several, are left out. Copies of an id give one row. Null titles and attributes state nothing.
     """
+    ws = Workspace(listings.sparkSession, "same")
     own = listings.where(F.col("seo_id").isNull() & F.col("id").isNotNull()).select("id", "title", "attributes").dropDuplicates(["id"])
-    read = read_traits(own).where(~F.col("part"))
-    variants, models = _models(products)
-    by_code = read.select("id", F.explode("codes").alias("code")).join(models.select("code").distinct(), "code")
-    words = read.select("id", F.explode("words").alias("word"))
-    by_line = words.join(models.select("code", F.col("line").alias("word")).distinct(), "word").select("id", "code")
-    sure = by_code.select("id", "code", F.lit(0).alias("rank")).unionByName(by_line.select("id", "code", F.lit(1).alias("rank")))
-    left = words.join(sure.select("id").distinct(), "id", "left_anti")
-    near = left.withColumn("form", F.explode(_shortened("word"))).join(models.select("code", "line", F.explode(_shortened("line")).alias("form")), "form").where(F.length("word") > 5)
-    near = near.select("id", "code", (F.levenshtein("word", "line") + 1).alias("rank")).where("rank <= 4").distinct()
-    # The surest naming of a model counts, and only if it names one.
-    ranked = sure.unionByName(near).groupBy("id", "code").agg(F.min("rank").alias("rank"))
-    best = ranked.groupBy("id").agg(F.min(F.struct("rank", "code")).alias("b"), F.collect_list(F.struct("rank", "code")).alias("every"))
-    one = best.where(F.size(F.filter("every", lambda x: x["rank"] == F.col("b.rank"))) == 1).select("id", F.col("b.code").alias("code"))
-    kind_dim = variants.where("dim is not null").groupBy("kind").agg(F.mode("dim").alias("kind_dim"))
-    known = variants.join(F.broadcast(kind_dim), "kind", "left").withColumn("dim", F.coalesce("dim", "kind_dim"))
-    # Keys of products state lengths in the unit usual for their kind; those with attributes show which.
-    ratio = variants.where("dim = 'mm' and slug_measure > 0").groupBy("kind").agg(F.median(F.col("measure") / F.col("slug_measure")).alias("r"))
-    ratio = ratio.select("kind", F.array_min(F.array(*[F.struct(F.abs(F.log(F.col("r") / x)), F.lit(x)) for x in (1.0, 10.0, 25.4)]))["col2"].alias("per_unit"))
-    known = known.join(F.broadcast(ratio), "kind", "left")
-    from_slug = F.floor(F.col("slug_measure") * F.coalesce("per_unit", F.lit(1.0)) + 0.5)
-    known = known.withColumn("measure", F.coalesce("measure", from_slug)).withColumn("colour", F.coalesce("colour", "slug_colour"))
-    known = known.groupBy("code").agg(F.mode("dim").alias("dim"), F.collect_set(F.struct("measure", "colour")).alias("variants"))
-    full = one.join(known, "code").join(read.drop("codes", "words", "part"), "id")
-    stated = F.coalesce(*[F.when(F.col("dim") == d, F.when(F.size(d) == 1, F.col(d)[0])) for d in DIMENSIONS])
-    full = full.select("id", "code", "dim", "variants", stated.alias("m"), F.when(F.size("colours") == 1, F.col("colours")[0]).alias("c"))
-    fits = F.filter("variants", lambda v: (F.col("m").isNull() | (v["measure"] == F.col("m"))) & (F.col("c").isNull() | (v["colour"] == F.col("c"))))
+    read = ws.cut(read_traits(own).where(~F.col("part")), "read")
+    variants = ws.cut(variants_of(products), "variants")
+    listed = ws.cut(signatures(read, variants).withColumn("sig", F.concat_ws(" ", "terms")), "listed")
+    signs = ws.cut(listed.groupBy("sig").agg(F.count("*").alias("n"), F.first("terms").alias("terms")), "signs")
+    links = ws.cut(pair_links(signs, variants), "links")
+    weights, _ = reinforced(links, ws)
+    scored = pair_scores(links, weights).where(F.col("s") >= ACCEPT)
+    found = scored.join(variants.select("v", "code", "dim", "measure", "colour"), "v").groupBy("sig").agg(F.max("s").alias("score"), F.collect_list(F.struct("s", "code", "dim", "measure", "colour")).alias("every"))
+    best = found.select("sig", "score", F.filter("every", lambda x: x["s"] >= F.col("score") - EQUAL).alias("best"))
+    one = best.where(F.size(F.array_distinct(F.transform("best", lambda x: x["code"]))) == 1).select("sig", "score", "best", F.col("best")[0]["code"].alias("code"), F.col("best")[0]["dim"].alias("dim"))
+    matched = ws.cut(one.join(signs.select("sig", "terms"), "sig"), "matched")
+
+    def stated(prefix: Column) -> Column:
+        """The one value the terms of a kind state, null if there are none or several."""
+        told = F.filter("terms", lambda t: t.startswith(F.concat(prefix, F.lit(":"))))
+        return F.when(F.size(told) == 1, F.substring_index(told[0], ":", -1))
 
     def only(field: str) -> Column:
-        left_open = F.array_distinct(F.transform("fits", lambda v: v[field]))
-        return F.when(F.size(left_open) == 1, left_open[0])
+        """The value all best variants have."""
+        values = F.array_distinct(F.transform("best", lambda v: v[field]))
+        return F.when(F.size(values) == 1, values[0])
 
-    full = full.withColumn("fits", fits)
-    return full.select("id", "code", "dim", F.coalesce("m", only("measure")).alias("measure"), F.coalesce("c", only("colour")).alias("colour"))
+    told = matched.select("sig", "code", "dim", F.coalesce(stated(F.col("dim")).cast("bigint"), only("measure")).alias("measure"), F.coalesce(stated(F.lit("colour")), only("colour")).alias("colour"), "score")
+    return ws.finish(listed.select("id", "sig").join(told, "sig").drop("sig"))
 
 
 def same_product(found: DataFrame) -> DataFrame:
@@ -167,4 +255,4 @@ def same_product(found: DataFrame) -> DataFrame:
     return a.join(b, key).where("id_a < id_b").select("id_a", "id_b")
 
 
-__all__ = ["classes", "colours", "measures", "read_traits", "same_product", "traits"]
+__all__ = ["classes", "colours", "measures", "pair_links", "pair_scores", "read_traits", "reinforced", "same_product", "signatures", "traits", "variants_of"]

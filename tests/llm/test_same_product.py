@@ -1,10 +1,12 @@
 """Listings of the same product."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from stallkit.llm.queries import QUERIES
+from stallkit.llm import same_product as sp
 from stallkit.llm.same_product import classes, measures, same_product
-from stallkit.session import local_session
+from stallkit.session import Workspace, local_session
 
 
 @pytest.fixture(scope="module")
@@ -40,5 +42,42 @@ def test_pairs(spark):
     assert sorted(map(tuple, same_product(found).collect())) == [("a", "b"), ("a", "c"), ("b", "c")]
 
 
+def products_of(spark, *names):
+    rows = [(f"{n.lower().replace(' ', '-').replace('-', '', 0)}-700-red", n, ["goods", "tents"], {"weight": "700 g", "color": "red"}) for n in names]
+    return spark.createDataFrame(rows, "seo_id string, name string, category array<string>, attributes map<string,string>")
+
+
+def listings_of(spark, titles):
+    rows = [(k, t, None, None) for k, t in titles.items()]
+    return spark.createDataFrame(rows, "id string, title string, attributes map<string,string>, seo_id string")
+
+
+def test_weights_decide_between_models(spark):
+    """Two line names fit equally; the one that elsewhere stands beside other models' codes says less."""
+    products = products_of(spark, "Acme Alphaline AB-1111", "Acme Betaline CD-2222", "Acme Gammaline EF-3333")
+    titles = {"x": "Alphaline Betaline rot 700 g"} | {f"n{i}": f"Alphaline EF-3333 Gammaline 700 g rot {i}" for i in range(5)} | {f"b{i}": f"Betaline CD-2222 700 g rot {i}" for i in range(3)}
+    listings = listings_of(spark, titles)
+    found = {r.id: r.code for r in classes(listings, products).collect()}
+    assert found["x"] == "cd2222" and {found[f"n{i}"] for i in range(5)} == {"ef3333"}
+    variants = sp.variants_of(products)
+    signs = sp.signatures(sp.read_traits(listings), variants).selectExpr("concat_ws(' ', terms) AS sig", "terms").groupBy("sig").agg(F.count("*").alias("n"), F.first("terms").alias("terms"))
+    links = sp.pair_links(signs, variants)
+    even = {r.v: r.s for r in sp.pair_scores(links, links.select("term").distinct().withColumn("x", F.lit(1.0))).collect() if r.sig.startswith("colour:red g:700 line:alphaline line:betaline")}
+    assert len(even) == 2 and len(set(even.values())) == 1
+    weights, rounds = sp.reinforced(links, Workspace(spark, "test"))
+    x = {r.term: r.x for r in weights.collect()}
+    assert rounds < sp.MOST_ROUNDS and x["line:betaline"] > x["line:alphaline"] and 0 <= min(x.values()) and max(x.values()) <= 1
+
+
+def test_ties_nulls_and_long_texts(spark):
+    products = products_of(spark, "Acme Alphaline AB-1111", "Acme Betaline CD-2222")
+    titles = {"tie": "Alphaline Betaline rot 700 g", "alone": "Alphaline rot 700 g", "null": None, "empty": "", "long": "Betaline rot 700 g " + "wort " * 40_000, "other": "nothing known", "brand": "Acme rot"}
+    found = {r.id: (r.code, r.measure, r.colour) for r in classes(listings_of(spark, titles), products).collect()}
+    assert found == {"long": ("cd2222", 700, "red"), "alone": ("ab1111", 700, "red")}
+    clash = listings_of(spark, titles).withColumn("score", F.lit(1)).withColumn("code", F.lit("x")).withColumn("sig", F.lit(""))
+    assert {r.id for r in classes(clash, products).collect()} == {"long", "alone"}
+    assert classes(listings_of(spark, titles).limit(0), products).collect() == [] and classes(listings_of(spark, titles), products.limit(0)).collect() == []
+
+
 def test_registered():
     assert {"p3_found", "p3_classes"} <= set(QUERIES)

@@ -134,7 +134,7 @@ def _terms_of(kinds: Column, measures_of: dict[str, Column], colours_of: Column)
     return F.array_distinct(F.concat(kinds, *[marked(d, m) for d, m in measures_of.items()], marked("colour", colours_of)))
 
 
-def variants_of(products: DataFrame) -> DataFrame:
+def variants_of(products: DataFrame, ws: Workspace) -> DataFrame:
     """``v, code, line, brand, dim, measure, colour, terms`` of every product whose name ends in a line name and a model code."""
     parts = F.split(F.lower("name"), " ")
     slug = F.split("seo_id", "-")
@@ -145,6 +145,7 @@ def variants_of(products: DataFrame) -> DataFrame:
     dim = F.coalesce(*[F.when(F.size(d) == 1, F.lit(d)) for d in DIMENSIONS])
     value = F.coalesce(*[F.when(F.size(d) == 1, F.col(d)[0]) for d in DIMENSIONS])
     rows = named.drop("title", "attributes").join(stated, "id").select("id", "code", "line", "brand", "kind", "slug_measure", "slug_colour", dim.alias("dim"), value.alias("measure"), F.when(F.size("colours") == 1, F.col("colours")[0]).alias("colour"))
+    rows = ws.cut(rows, "named")
     kind_dim = rows.where("dim is not null").groupBy("kind").agg(F.mode("dim").alias("kind_dim"))
     # Keys of products state lengths in the unit usual for their kind; those with attributes show which.
     ratio = rows.where("dim = 'mm' and slug_measure > 0").groupBy("kind").agg(F.median(F.col("measure") / F.col("slug_measure")).alias("r"))
@@ -182,26 +183,32 @@ def signatures(read: DataFrame, variants: DataFrame) -> DataFrame:
     return both.select("id", F.array_sort(_terms_of(F.col("kinds"), {d: F.col(d) for d in DIMENSIONS}, F.col("colours"))).alias("terms"))
 
 
-def pair_links(signs: DataFrame, variants: DataFrame) -> DataFrame:
-    """``sig, v, n, term, shared`` of every term of every pair: a signature with a variant of which it has the code or line."""
+def pairs_of(signs: DataFrame, variants: DataFrame, ws: Workspace) -> DataFrame:
+    """``pid, sig, v, n, terms, v_terms``: a signature with each variant of which it has the code or line."""
     names = lambda t: F.filter(t, lambda x: x.startswith("code:") | x.startswith("line:"))
     a = signs.select("sig", "n", "terms", F.explode(names(F.col("terms"))).alias("name"))
     b = variants.select("v", F.col("terms").alias("v_terms"), F.explode(names(F.col("terms"))).alias("name"))
-    pairs = a.join(b, "name").dropDuplicates(["sig", "v"])
-    return pairs.select("sig", "v", "n", "v_terms", F.explode("terms").alias("term")).select("sig", "v", "n", "term", F.array_contains("v_terms", F.col("term")).alias("shared"))
+    # Numbers are given to written rows, so that a lost task's rerun gives them again.
+    pairs = ws.cut(a.join(b, "name").dropDuplicates(["sig", "v"]).drop("name"), "met")
+    return ws.cut(pairs.withColumn("pid", F.monotonically_increasing_id()), "pairs")
+
+
+def pair_links(pairs: DataFrame) -> DataFrame:
+    """``pid, n, term, shared`` of every term of every pair's signature."""
+    return pairs.select("pid", "n", "v_terms", F.explode("terms").alias("term")).select("pid", "n", "term", F.array_contains("v_terms", F.col("term")).alias("shared"))
 
 
 def pair_scores(links: DataFrame, weights: DataFrame) -> DataFrame:
-    """``sig, v, s``: the share of the weight of a signature's terms that a variant has too."""
-    held = links.join(weights, "term").groupBy("sig", "v").agg(F.sum(F.when(F.col("shared"), F.col("x")).otherwise(0.0)).alias("a"), F.sum("x").alias("b"))
-    return held.select("sig", "v", F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0).alias("s"))
+    """``pid, s``: the share of the weight of a signature's terms that a variant has too."""
+    held = links.join(weights, "term").groupBy("pid").agg(F.sum(F.when(F.col("shared"), F.col("x")).otherwise(0.0)).alias("a"), F.sum("x").alias("b"))
+    return held.select("pid", F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0).alias("s"))
 
 
 def reinforced(links: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
     """``term, x``: weights of terms when they have settled, and the number of rounds that took."""
     weights = ws.cut(links.select("term").distinct().withColumn("x", F.lit(1.0)), "weights0")
     for turn in range(1, MOST_ROUNDS + 1):
-        scored = links.join(pair_scores(links, weights), ["sig", "v"])
+        scored = links.join(pair_scores(links, weights), "pid")
         mean = F.sum(F.when(F.col("shared"), F.col("s")).otherwise(0.0) * F.col("n")) / F.sum("n")
         new = ws.cut(scored.groupBy("term").agg(mean.alias("x")), f"weights{turn}")
         moved = new.join(weights.withColumnRenamed("x", "before"), "term").agg(F.max(F.abs(F.col("x") - F.col("before")))).first()[0]
@@ -222,12 +229,13 @@ def classes(listings: DataFrame, products: DataFrame) -> DataFrame:
     ws = Workspace(listings.sparkSession, "same")
     own = listings.where(F.col("seo_id").isNull() & F.col("id").isNotNull()).select("id", "title", "attributes").dropDuplicates(["id"])
     read = ws.cut(read_traits(own).where(~F.col("part")), "read")
-    variants = ws.cut(variants_of(products), "variants")
+    variants = ws.cut(variants_of(products, ws), "variants")
     listed = ws.cut(signatures(read, variants).withColumn("sig", F.concat_ws(" ", "terms")), "listed")
     signs = ws.cut(listed.groupBy("sig").agg(F.count("*").alias("n"), F.first("terms").alias("terms")), "signs")
-    links = ws.cut(pair_links(signs, variants), "links")
+    pairs = pairs_of(signs, variants, ws)
+    links = ws.cut(pair_links(pairs), "links")
     weights, _ = reinforced(links, ws)
-    scored = pair_scores(links, weights).where(F.col("s") >= ACCEPT)
+    scored = pair_scores(links, weights).where(F.col("s") >= ACCEPT).join(pairs.select("pid", "sig", "v"), "pid")
     found = scored.join(variants.select("v", "code", "dim", "measure", "colour"), "v").groupBy("sig").agg(F.max("s").alias("score"), F.collect_list(F.struct("s", "code", "dim", "measure", "colour")).alias("every"))
     best = found.select("sig", "score", F.filter("every", lambda x: x["s"] >= F.col("score") - EQUAL).alias("best"))
     one = best.where(F.size(F.array_distinct(F.transform("best", lambda x: x["code"]))) == 1).select("sig", "score", "best", F.col("best")[0]["code"].alias("code"), F.col("best")[0]["dim"].alias("dim"))
@@ -255,4 +263,4 @@ def same_product(found: DataFrame) -> DataFrame:
     return a.join(b, key).where("id_a < id_b").select("id_a", "id_b")
 
 
-__all__ = ["classes", "colours", "measures", "pair_links", "pair_scores", "read_traits", "reinforced", "same_product", "signatures", "traits", "variants_of"]
+__all__ = ["classes", "colours", "measures", "pair_links", "pair_scores", "pairs_of", "read_traits", "reinforced", "same_product", "signatures", "traits", "variants_of"]

@@ -59,12 +59,14 @@ def test_weights_decide_between_models(spark):
     listings = listings_of(spark, titles)
     found = {r.id: r.code for r in classes(listings, products).collect()}
     assert found["x"] == "cd2222" and {found[f"n{i}"] for i in range(5)} == {"ef3333"}
-    variants = sp.variants_of(products)
+    ws = Workspace(spark, "test")
+    variants = sp.variants_of(products, ws)
     signs = sp.signatures(sp.read_traits(listings), variants).selectExpr("concat_ws(' ', terms) AS sig", "terms").groupBy("sig").agg(F.count("*").alias("n"), F.first("terms").alias("terms"))
-    links = sp.pair_links(signs, variants)
-    even = {r.v: r.s for r in sp.pair_scores(links, links.select("term").distinct().withColumn("x", F.lit(1.0))).collect() if r.sig.startswith("colour:red g:700 line:alphaline line:betaline")}
-    assert len(even) == 2 and len(set(even.values())) == 1
-    weights, rounds = sp.reinforced(links, Workspace(spark, "test"))
+    pairs = sp.pairs_of(signs, variants, ws)
+    links = sp.pair_links(pairs)
+    even = sp.pair_scores(links, links.select("term").distinct().withColumn("x", F.lit(1.0))).join(pairs, "pid").where("sig = 'colour:red g:700 line:alphaline line:betaline'").collect()
+    assert len(even) == 2 and len({r.s for r in even}) == 1
+    weights, rounds = sp.reinforced(links, ws)
     x = {r.term: r.x for r in weights.collect()}
     assert rounds < sp.MOST_ROUNDS and x["line:betaline"] > x["line:alphaline"] and 0 <= min(x.values()) and max(x.values()) <= 1
 

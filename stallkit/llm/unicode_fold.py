@@ -7,8 +7,11 @@ letters before them by pair lookups over the whole array, and look-alike letters
 one pass that numbers the words. No step calls a function per row.
 
 The consistent form: full-width forms of ASCII become ASCII, presentation-form ligatures their letters, every space
-character the ASCII space, invisible characters are dropped, letters and marks are composed as in NFC, look-alike
-letters in words with Latin letters become Latin. Line breaks, signs, words wholly in another script stay.
+character the ASCII space, invisible characters are dropped, letters and marks are composed as in NFC (a composed letter
+before a mark is taken apart first), look-alike letters in words with Latin letters become Latin. Line breaks, signs,
+words wholly in another script stay; so do joiners and variation selectors behind a symbol, where they choose the picture.
+Letters of other scripts that look like no Latin letter are flagged in words with Latin letters and stay: no table of all
+confusable letters is at hand here, the one below holds those of the scripts most like Latin.
 """
 
 from __future__ import annotations
@@ -35,9 +38,30 @@ LOOKALIKES = {
     "Armenian": ("օսհոցք", "ouhngp"),
 }
 _BLOCKS = [(0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)]
+#: Selectors, fillers and tags: dropped too, though not told as invisible characters.
+_SELECTORS = [0x115F, 0x1160, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)]
 _UNSEEN = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), 0xFEFF]
 
 
+def _expansions(longer: dict[int, str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many code points each one becomes, and where they stand in the flat array of all that become several."""
+    grows, at = np.ones(size, np.uint8), np.zeros(size, np.int32)
+    flat: list[int] = []
+    for c, s in longer.items():
+        grows[c], at[c] = len(s), len(flat)
+        flat += map(ord, s)
+    return grows, at, np.array(flat or [0], np.uint32)
+
+
+def _expand(cp: np.ndarray, row: np.ndarray, grow: np.ndarray, at: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code point as often as it grows, those that grow replaced by what they become."""
+    if not (grow > 1).any():
+        return cp, row
+    source = np.repeat(np.arange(len(cp)), grow)
+    nth = np.arange(len(source)) - np.repeat(np.cumsum(grow) - grow, grow)
+    return np.where(grow[source] > 1, flat[np.minimum(at[cp[source]] + nth, len(flat) - 1)], cp[source]).astype(np.uint32), row[source]
+
+
 @lru_cache(1)
 def tables() -> SimpleNamespace:
     """Lookup tables over all code points."""
@@ -45,6 +69,8 @@ def tables() -> SimpleNamespace:
     flag, kind, ccc = np.zeros(size, np.uint8), np.zeros(size, np.uint8), np.zeros(size, np.uint8)
     to = np.arange(size, dtype=np.uint32)
     wide: dict[int, str] = {}
+    apart: dict[int, str] = {}
+    picture = np.zeros(size, bool)
     pairs: dict[int, int] = {}
     for c in range(size):
         ch = chr(c)
@@ -52,6 +78,7 @@ def tables() -> SimpleNamespace:
         if cat[0] == "C" and cat != "Cf":
             continue
         ccc[c] = unicodedata.combining(ch)
+        picture[c] = cat == "So" or 0x1F3FB <= c <= 0x1F3FF or c == 0xFE0F
         if cat == "Nd":
             kind[c] = _DIGIT
         elif cat[0] == "L" and cat != "Lm":
@@ -70,6 +97,8 @@ def tables() -> SimpleNamespace:
             continue
         if d[0] != "<":
             whole = unicodedata.normalize("NFC", ch)
+            if whole == ch and " " in d:
+                apart[c] = unicodedata.normalize("NFD", ch)
             if whole == ch and " " in d:
                 a, b = (int(x, 16) for x in d.split())
                 pairs[a << 21 | b] = c
@@ -88,19 +117,18 @@ def tables() -> SimpleNamespace:
     for c in _UNSEEN:
         flag[c] |= INVISIBLE
         drop[c] = True
+    drop[_SELECTORS] = True
+    joins = np.zeros(size, bool)
+    joins[[0x200D, *range(0xFE00, 0xFE10)]] = True
     like = np.arange(size, dtype=np.uint32)
     for odd, plain in reversed(LOOKALIKES.values()):
         for a, b in zip(odd, plain, strict=True):
             like[ord(a)] = ord(b)
-    grows = np.ones(size, np.uint8)
-    at = np.zeros(size, np.int32)
-    flat: list[int] = []
-    for c, s in wide.items():
-        grows[c], at[c] = len(s), len(flat)
-        flat += map(ord, s)
+    grows, at, flat = _expansions(wide, size)
+    apart_grows, apart_at, apart_flat = _expansions(apart, size)
     keys = np.array(sorted(pairs), np.int64)
     composed = np.array([pairs[k] for k in keys.tolist()], np.uint32)
-    return SimpleNamespace(flag=flag, kind=kind, ccc=ccc, to=to, drop=drop, like=like, grows=grows, at=at, flat=np.array(flat, np.uint32), keys=keys, composed=composed)
+    return SimpleNamespace(flag=flag, kind=kind, ccc=ccc, to=to, drop=drop, like=like, grows=grows, at=at, flat=flat, apart_grows=apart_grows, apart_at=apart_at, apart_flat=apart_flat, keys=keys, composed=composed, picture=picture, joins=joins)
 
 
 def _pair(t: SimpleNamespace, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,12 +210,15 @@ def fold_array(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     for bit in (WIDE, MARK, INVISIBLE, SPACE):
         odd[row[(seen & bit) > 0]] |= bit
     stay = ~t.drop[cp]
+    if t.joins[cp].any():
+        # What chooses a picture stays behind a symbol.
+        stay[1:] |= t.joins[cp[1:]] & t.picture[cp[:-1]] & (row[1:] == row[:-1])
     cp, row = t.to[cp[stay]], row[stay]
-    grow = t.grows[cp].astype(np.int64)
-    if (grow > 1).any():
-        source = np.repeat(np.arange(len(cp)), grow)
-        nth = np.arange(len(source)) - np.repeat(np.cumsum(grow) - grow, grow)
-        cp, row = np.where(grow[source] > 1, t.flat[np.minimum(t.at[cp[source]] + nth, len(t.flat) - 1)], cp[source]), row[source]
+    cp, row = _expand(cp, row, t.grows[cp].astype(np.int64), t.at, t.flat)
+    # A composed letter before a mark is taken apart, so that marks meet in canonical order whatever was composed.
+    marked = np.zeros(len(cp), bool)
+    marked[:-1] = (t.ccc[cp[1:]] > 0) & (row[1:] == row[:-1])
+    cp, row = _expand(cp, row, np.where(marked, t.apart_grows[cp], 1).astype(np.int64), t.apart_at, t.apart_flat)
     cp, row = _compose(t, cp, row)
     kind = t.kind[cp]
     inside = kind != _NONE

@@ -1,8 +1,9 @@
 """Personal information in free text: spans, scores and typed placeholders.
 
-Regular expressions propose spans of a kind, each with a score of its own. Validators (Luhn, the French mod-97 key, the mod-11 check of
-tax numbers, the 7-3-1 check of travel documents) add to the score of spans whose digits fit, words around the span add
-or take away. Spans that reach ``ACCEPT`` count; of overlapping ones the highest score wins, then the longest. Texts are
+Regular expressions propose spans of a kind, each with a score of its own; texts without a run of digits are not searched
+for numbers. Validators (Luhn for cards, mod-97 for accounts and the French key, the mod-11
+check of tax numbers, the 7-3-1 check of travel documents) add to the score of spans whose digits fit, words around the
+span add or take away. Spans that reach ``ACCEPT`` count; of overlapping ones the highest score wins, then the longest. Texts are
 brought to one consistent form first, so odd characters hide nothing; the redacted text is in that form.
 """
 
@@ -44,6 +45,12 @@ def mod97_french(digits: str) -> bool:
     return len(digits) == 15 and 97 - int(digits[:13]) % 97 == int(digits[13:])
 
 
+def mod97_account(text: str) -> bool:
+    """Check digits of an international account number."""
+    t = text.replace(" ", "").upper()
+    return 15 <= len(t) <= 34 and t.isalnum() and t.isascii() and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
 def tax_id(digits: str) -> bool:
     """Check digit of a German tax number of 11 digits (ISO 7064 mod 11, 10)."""
     if len(digits) != 11:
@@ -69,7 +76,15 @@ _LOCAL = r"[\p{L}\p{N}][\p{L}\p{N}._+%-]*"
 EMAIL = regex.compile(rf"(?:mailto:)?{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+", _I)
 EMAIL_IN_WORDS = regex.compile(rf"{_LOCAL}\s(?:at|ät)\s{_LABEL}(?:{_DOT}{_LABEL})+", _I)
 
+#: Signs without which there is no address of mail.
+BRACKET_AT = regex.compile(r"[\[({]\s?(?:at|ät|@)", _I)
+
 _SEP = r"[ .\-/]"
+#: Seven digits close together, or letters and digits of a document: without them there is no number to hide.
+NUMBERS = regex.compile(r"\d(?:[ .\-/()]{0,3}\d){6}|\d(?:[ \-/]?[A-Z0-9]){5}|[A-Z](?:[ \-/]?[A-Z0-9]){5}")
+ACCOUNT = regex.compile(r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])")
+CARD = regex.compile(r"(?<![\w.,-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)")
+CARD_CUE = regex.compile(r"(?:karten?(?:nummer|nr)?|kreditkarte|card(?: (?:number|no))?|visa|mastercard|carte(?: bancaire)?|cb)\W{0,4}$", _I)
 PHONES = [
     (regex.compile(rf"(?<![\w+@])(?:\+|00)[1-9]\d{{0,2}}{_SEP}?(?:\(0\){_SEP}?)?\d{{1,5}}(?:{_SEP}?\d{{2,8}}){{1,5}}(?!\w)"), 0.7, (10, 15)),
     (regex.compile(rf"(?<![\w+@.,/-])\(?0[1-9]\d{{0,4}}\)?{_SEP}?\d{{2,8}}(?:{_SEP}?\d{{2,8}}){{0,4}}(?!\w)"), 0.6, (9, 12)),
@@ -120,6 +135,7 @@ NAMES = [
     (regex.compile(rf"(?<!\p{{L}})(?i:(?:viele|liebe|beste|schöne|freundliche[nr]?|herzliche)\s+grü(?:ß|ss)e|mit freundlichen grüßen|grü(?:ß|ss)e|gru(?:ß|ss)|lg|vg|mfg|cordialement|bien à vous|salutations|amicalement|(?:kind |best |warm )?regards|cheers|sincerely|best wishes|thanks|merci|danke)(?:\s(?i:von|from|de))?[\s,!–-]*\s{_SINGLE}"), 0.6),
     (regex.compile(rf"(?<!\p{{L}})(?i:nach|bei|an)\s{_SINGLE}(?=\s(?i:fragen|melden|wenden))"), 0.6),
     (regex.compile(rf"(?<!\p{{L}})(?i:ask for|speak to|talk to|demander|demandez|contacter|contactez|s['’]adresser à|fragen nach|fragt nach|melden bei)\s{_SINGLE}"), 0.6),
+    (regex.compile(rf"(?<!\p{{L}})(?i:call|text|ring|write to|ruf|rufen sie|schreib|appelez|appeler)\s{_SINGLE}(?=\s(?i:on|at|via|under|unter|an|au)(?!\p{{L}}))"), 0.6),
     (regex.compile(rf"(?<!\p{{L}})(?P<v>{_TITLE}{_PART}(?:\s{_PART})?)"), 0.45),
 ]
 #: Capitalised words that begin a sentence or name a thing, not a person. Fixed values.
@@ -136,15 +152,26 @@ def _near(text: str, a: int, b: int) -> tuple[str, str]:
 
 
 def _emails(t: str) -> Iterator[Span]:
-    low = t.lower()
-    if "@" in t or "at" in low or "ät" in low:
+    if "@" in t or BRACKET_AT.search(t):
         for m in EMAIL.finditer(t):
             yield Span("email", m.start(), m.end(), 0.9)
+    low = t.lower()
+    if " at " in low or " ät " in low:
         for m in EMAIL_IN_WORDS.finditer(t):
             local = regex.split(r"\s", m.group(), maxsplit=1)[0]
             yield Span("email", m.start(), m.end(), 0.35 + 0.3 * bool(regex.search(r"[._+\d-]", local)))
 
 
+def _accounts(t: str) -> Iterator[Span]:
+    for m in ACCOUNT.finditer(t):
+        if mod97_account(m.group()):
+            yield Span("account", m.start(), m.end(), 1.2)
+    for m in CARD.finditer(t):
+        before, _ = _near(t, *m.span())
+        digits = regex.sub(r"\D", "", m.group())
+        yield Span("account", m.start(), m.end(), 0.2 + 0.3 * (luhn(digits) and digits[0] in "3456") + 0.4 * bool(CARD_CUE.search(before)) - 0.5 * bool(NO_PHONE.search(before)))
+
+
 def _phones(t: str) -> Iterator[Span]:
     for pattern, score, (least, most) in PHONES:
         for m in pattern.finditer(t):
@@ -212,8 +239,10 @@ def find(text: str, contact: bool = False, known: frozenset[str] = frozenset())
     ``known`` are words that are parts of names wherever they stand.
     """
     spans = [*_emails(text), *_names(text, contact, known)]
+    if NUMBERS.search(text):
+        spans += [*_phones(text), *_ids(text), *_accounts(text)]
     if regex.search(r"\d", text):
-        spans += [*_phones(text), *_ids(text), *_addresses(text)]
+        spans += _addresses(text)
     out: list[Span] = []
     for s in sorted((s for s in spans if s.score >= ACCEPT), key=lambda s: (-s.score, s.start - s.end, s.start)):
         if all(s.end <= o.start or s.start >= o.end for o in out):
@@ -236,7 +265,7 @@ def name_words(df: DataFrame, column: str, least: int = 2, most: int = 20_000) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = fold_array(batch.column(0))[0].to_pylist()
-            runs = [t[s.start : s.end].split(" ") for t in texts if t for s in find(t, True) if s.kind == "name"]
+            runs = [t[s.start : s.end].split(" ") for t in texts if t for s in _names(t, True, frozenset()) if s.score >= ACCEPT]
             yield pa.record_batch([pa.array([w for r in runs if len(r) == 2 for w in r if regex.fullmatch(_PART, w)], pa.string())], names=["word"])
 
     words = df.select(F.col(column).cast("string").alias("text")).where("text is not null").mapInArrow(run, "word string")
@@ -271,4 +300,4 @@ def redact_columns(df: DataFrame, columns: Sequence[str], contacts: Sequence[str
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(kept)], *fields]))
 
 
-__all__ = ["Span", "find", "luhn", "mod97_french", "name_words", "redact", "redact_columns", "tax_id", "travel_document"]
+__all__ = ["Span", "find", "luhn", "mod97_account", "mod97_french", "name_words", "redact", "redact_columns", "tax_id", "travel_document"]

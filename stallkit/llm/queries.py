@@ -56,7 +56,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
         return F.transform(f"{field}_kinds", lambda kind: F.struct(F.lit(field).alias("field"), kind.alias("pii_kind")))
 
     kinds = F.concat(cases("description"), cases("contact"))
-    found = _redacted(spark, folder).select("id", F.explode(kinds).alias("case"))
+    # Account and card numbers are hidden in the texts, but are no kind that is asked for.
+    found = _redacted(spark, folder).select("id", F.explode(kinds).alias("case")).where("case.pii_kind != 'account'")
     return found.select("id", "case.field", "case.pii_kind").distinct()
 
 

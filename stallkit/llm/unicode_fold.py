@@ -192,7 +192,30 @@ def _compose(t: SimpleNamespace, cp: np.ndarray, row: np.ndarray) -> tuple[np.nd
 
 
 def fold_array(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The consistent form of every string, and the bits of what was odd in it. Null gives null and 0."""
+    """The consistent form of every string, and the bits of what was odd in it. Null gives null and 0.
+
+    Strings of ASCII and the composed letters of Latin-1 alone are in that form already; one look at the bytes finds them.
+    """
+    n = len(text)
+    wide = text.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(wide.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    # Lead bytes: 0xC3 begins the letters from U+00C0 to U+00FF, which nothing here changes where no mark follows.
+    other = np.flatnonzero((data == 0xC2) | (data > 0xC3))
+    rows = np.unique(np.searchsorted(offsets - offsets[0], other, "right") - 1)
+    odd = np.zeros(n, np.uint8)
+    if not len(rows):
+        return text.cast(pa.string()), odd
+    folded, odd[rows] = _fold(text.take(pa.array(rows)))
+    if len(rows) == n:
+        return folded, odd
+    at = np.arange(n)
+    at[rows] = n + np.arange(len(rows))
+    return pa.concat_arrays([text.cast(pa.string()), folded]).take(pa.array(at)), odd
+
+
+def _fold(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``fold_array`` of strings of any kind, all of them on code points."""
     t = tables()
     n = len(text)
     valid = text.is_valid().to_numpy(zero_copy_only=False)

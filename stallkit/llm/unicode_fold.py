@@ -38,6 +38,9 @@ LOOKALIKES = {
     "Armenian": ("օսհոցք", "ouhngp"),
 }
 _BLOCKS = [(0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)]
+#: Code points looked up one by one, and ranges of letters that need no look: ideographs and Hangul syllables.
+_IDEOGRAPHS = [(0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x2F800), (0x30000, 0x323B0)]
+_LOOKED_AT = [(0, 0x3400), (0x4DC0, 0x4E00), (0xA000, 0xAC00), (0xD7A4, 0x20000), (0x2F800, 0x30000), (0xE0000, 0xE0200)]
 #: Selectors, fillers and tags: dropped too, though not told as invisible characters.
 _SELECTORS = [0x115F, 0x1160, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)]
 _UNSEEN = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), 0xFEFF]
@@ -72,7 +75,9 @@ def tables() -> SimpleNamespace:
     apart: dict[int, str] = {}
     picture = np.zeros(size, bool)
     pairs: dict[int, int] = {}
-    for c in range(size):
+    for a, b in _IDEOGRAPHS:
+        kind[a:b] = _OTHER
+    for c in (c for a, b in _LOOKED_AT for c in range(a, b)):
         ch = chr(c)
         cat = unicodedata.category(ch)
         if cat[0] == "C" and cat != "Cf":

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import unicodedata
 import warnings
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,22 +40,52 @@ LEAST_WORDS = 40
 #: tie languages and rare words to the graded documents.
 SHAPE = 0.5
 _BINS = 2048
+#: Mean word lengths from this many half letters on are one shape; words a worker remembers.
+_LONG, _CACHE = 400, 1 << 18
 _WORD = regex.compile(r"[^\W\d_]+")
 _SENTENCE = regex.compile(r"[.!?\n;]+")
 
 
-def links(text: str) -> tuple[list[int], list[float]]:
-    """Words and sentence shapes of a text as places in the word space, with weights; these add up to 1 if there are any."""
-    plain = unicodedata.normalize("NFKC", text).lower()
-    sentences = [s for s in map(_WORD.findall, _SENTENCE.split(plain)) if len(s) > 1] or [s for s in [_WORD.findall(plain)] if s]
-    weight: Counter[int] = Counter()
-    for s in sentences:
-        share = (1 - SHAPE) / len(s) / len(sentences)
-        for w in s:
-            weight[xxhash.xxh32_intdigest(w) % SPACE] += share
-        for shape in (f"#words {min(len(s), 42) // 3}", f"#letters {round(2 * sum(map(len, s)) / len(s))}"):
-            weight[xxhash.xxh32_intdigest(shape) % SPACE] += SHAPE / 2 / len(sentences)
-    return list(weight), list(weight.values())
+class Linker:
+    """Links of documents in one worker; places of words seen before come from a cache, which is emptied when full."""
+
+    def __init__(self) -> None:
+        self.places: dict[str, int] = {}
+        # Places of the shapes: sentences of up to 42 words in steps of three, mean word lengths in half letters.
+        self.words = np.array([place(f"#words {i}") for i in range(15)], np.int64)
+        self.letters = np.array([place(f"#letters {i}") for i in range(_LONG)], np.int64)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets of each text's links, and the links' places and weights; a text's weights add up to 1 if it has words."""
+        flat: list[str] = []
+        lengths: list[int] = []
+        owner: list[int] = []
+        for i, text in enumerate(texts):
+            plain = unicodedata.normalize("NFKC", text).lower()
+            sentences = [s for s in map(_WORD.findall, _SENTENCE.split(plain)) if len(s) > 1] or [s for s in [_WORD.findall(plain)] if s]
+            for s in sentences:
+                flat += s
+                lengths.append(len(s))
+                owner.append(i)
+        if len(self.places) > _CACHE:
+            self.places.clear()
+        places = self.places
+        for w in set(flat).difference(places):
+            places[w] = place(w)
+        n, doc = np.array(lengths, np.int64), np.array(owner, np.int64)
+        each = 1.0 / np.maximum(np.bincount(doc, minlength=len(texts)), 1)
+        sentence = np.repeat(np.arange(len(n)), n)
+        at = np.fromiter((places[w] for w in flat), np.int64, len(flat))
+        letters = np.bincount(sentence, np.fromiter(map(len, flat), np.int64, len(flat)), len(n)) if len(n) else np.zeros(0)
+        shape = np.concatenate([self.words[np.minimum(n, 42) // 3], self.letters[np.minimum(np.rint(2 * letters / np.maximum(n, 1)).astype(np.int64), _LONG - 1)]])
+        weight = np.concatenate([((1 - SHAPE) / np.maximum(n, 1) * each[doc])[sentence], np.tile(SHAPE / 2 * each[doc], 2)])
+        key, inverse = np.unique(np.concatenate([doc[sentence], doc, doc]) * SPACE + np.concatenate([at, shape]), return_inverse=True)
+        offsets = np.searchsorted(key, np.arange(len(texts) + 1) * SPACE)
+        return offsets, key % SPACE, np.bincount(inverse, weight, len(key)) if len(key) else np.zeros(0)
+
+
+def place(node: str) -> int:
+    return xxhash.xxh32_intdigest(node) % SPACE
 
 
 def graph(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -67,15 +96,15 @@ def graph(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, words, weights = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                if t and len(t.split()) >= LEAST_WORDS:
-                    w, v = links(t)
-                    keep.append(i)
-                    words.append(w)
-                    weights.append(v)
-            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], names=["doc_id", "word", "weight"])
+        linker = Linker()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = batch.column(1).to_pylist()
+                keep = [i for i, t in enumerate(texts) if t and len(t.split()) >= LEAST_WORDS]
+                offsets, word, weight = linker.of([texts[i] for i in keep])
+                lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), x) for x in (pa.array(word.astype(np.int32)), pa.array(weight.astype(np.float32)))]
+                yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), *lists], names=["doc_id", "word", "weight"])
 
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, word array<int>, weight array<float>")
     graded = labels.filter(F.col("reading_level").between(1, 3)).select("doc_id", "rater", "reading_level").distinct()

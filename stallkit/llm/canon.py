@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from stallkit.llm.unicode_fold import fold_array
 
 UNMATCHED = -1
+#: The list is sent to every executor as a whole; one of more entries is refused.
+MAX_ENTRIES = 100_000
 #: Most edits as a share of the name's letters.
 MOST = 0.34
 #: Words that say which field this is, or comment on it. Fixed values.
@@ -166,7 +168,7 @@ def resolve_values(values: DataFrame, entries: Sequence[tuple[int, str, str, Seq
         matchers = {k: Matcher([(e, n, a) for kind, e, n, a in entries if kind == k]) for k in kinds}
         for b in batches:
             fields, folded = b.column(0).to_pylist(), fold_array(b.column(1))[0].to_pylist()
-            ids = pa.array([matchers[k].resolve(v) for k, v in zip(fields, folded, strict=True)], pa.int32())
+            ids = pa.array([matchers[k].resolve(v) if k in matchers else UNMATCHED for k, v in zip(fields, folded, strict=True)], pa.int32())
             yield pa.record_batch([b.column(0), b.column(1), ids], names=["field", "value", "entry_id"])
 
     return values.select("field", "value").mapInArrow(run, "field string, value string, entry_id int")
@@ -175,10 +177,14 @@ def resolve_values(values: DataFrame, entries: Sequence[tuple[int, str, str, Seq
 def meant_entries(records: DataFrame, canon: DataFrame) -> DataFrame:
     """``record_key, field, entry_id`` of every record whose value is not an entry's very name.
 
-    Each distinct value is resolved once. Null and blank values and the condition ``unknown`` are no cases.
+    Each distinct value is resolved once. Null and blank values and the condition ``unknown`` are no cases. Of a kind that
+    has no entries every value is unmatched. Repeated rows give one.
     """
-    entries = [(r.entry_kind, r.entry_id, r.entry_name, list(r.aliases or ())) for r in canon.collect()]
-    names = F.array(*[F.lit(f"{k}\x1f{n}") for k, _, n, _ in entries])
+    rows = canon.limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"the list has more than {MAX_ENTRIES} entries")
+    entries = [(r.entry_kind, r.entry_id, r.entry_name, [a for a in r.aliases or () if a]) for r in rows if r.entry_kind and r.entry_name]
+    names = F.array(F.lit(""), *[F.lit(f"{k}\x1f{n}") for k, _, n, _ in entries])
     blank = F.trim(F.regexp_replace("value", r"[\s\p{Z}\p{Cf}]+", " ")) == ""
     unknown = (F.col("field") == "condition") & (F.lower(F.trim("value")) == "unknown")
     cases = records.where(F.col("value").isNotNull() & ~blank & ~unknown & ~F.array_contains(names, F.concat_ws("\x1f", "field", "value"))).distinct()

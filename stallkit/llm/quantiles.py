@@ -71,7 +71,7 @@ def build_runs(df: DataFrame, key: str, value: str, spread: Sequence[str] = (),
     apart = [F.col(c) for c in spread] or [F.monotonically_increasing_id()]
     rows = df.select(F.col(key).cast("string").alias("k"), v.alias("v"), F.xxhash64(*apart).alias("h"))
     rows = rows.filter(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
-    rows = rows.repartitionByRange(shuffle_width(df.sparkSession), "k", "h").sortWithinPartitions("k")
+    rows = rows.repartitionByRange(shuffle_width(rows), "k", "h").sortWithinPartitions("k")
     return rows.select("k", "v").mapInArrow(_make_runs(run_rows), RUN)
 
 

@@ -20,3 +20,13 @@ def test_cases():
     found = meant_entries(spark.createDataFrame(rows, "record_key string, field string, value string"), canon)
     assert sorted(map(tuple, found.collect())) == [("b", "category", 106), ("p", "brand", 300), ("q", "brand", -1), ("q", "condition", 201), ("r", "brand", -1)]
     assert "p7_found" in QUERIES
+
+
+def test_odd_tables():
+    spark = local_session(cores="2", shuffle_partitions=2)
+    canon = spark.createDataFrame([(106, "category", "Coffee Makers", None), (107, "category", "Tea Makers", ["Coffee Pots"])], "entry_id int, entry_kind string, entry_name string, aliases array<string>")
+    values = spark.createDataFrame([(None, "category", "coffee  makers"), ("l", "category", "Coffee Pots " + "x " * 50_000), ("t", "category", "Coffee Makers, Tea Makers")], "record_key string, field string, value string")
+    got = {r.record_key: r.entry_id for r in meant_entries(values, canon).collect()}
+    assert got[None] == 106 and got["l"] == 107 and set(got) == {None, "l", "t"}
+    assert meant_entries(values.limit(0), canon).collect() == []
+    assert {r.entry_id for r in meant_entries(values, canon.limit(0)).collect()} == {-1}

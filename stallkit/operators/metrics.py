@@ -93,7 +93,7 @@ def sitemap(products: DataFrame, part: int = SITEMAP_PART) -> DataFrame:
     """
     ws = Workspace(products.sparkSession, "sitemap")
     keyed = products.filter(F.col("seo_id").isNotNull()).select("seo_id").distinct()
-    ranges = keyed.repartitionByRange(shuffle_width(products.sparkSession), "seo_id").sortWithinPartitions("seo_id")
+    ranges = keyed.repartitionByRange(shuffle_width(keyed), "seo_id").sortWithinPartitions("seo_id")
     # The row number has the range's number in its upper bits and the place in the range in the 33 lower ones.
     n = F.monotonically_increasing_id()
     rows = ws.cut(ranges.select("seo_id", F.shiftright(n, 33).alias("_range"), n.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "rows")

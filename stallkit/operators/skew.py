@@ -77,9 +77,8 @@ def balanced_counts(df: DataFrame, key: str, value: str, ranges: int | None = No
     Nulls: a null key is a key of its own; a null value counts in ``n_rows`` only. An empty table gives no rows.
     Columns other than ``key`` and ``value`` are not read; their names may clash with anything.
     """
-    ranges = ranges or shuffle_width(df.sparkSession)
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v"), F.monotonically_increasing_id().alias("r"))
-    spread = rows.repartitionByRange(ranges, "k", "v", "r").sortWithinPartitions("k", "v")
+    spread = rows.repartitionByRange(ranges or shuffle_width(rows), "k", "v", "r").sortWithinPartitions("k", "v")
     states = spread.select("k", "v").mapInArrow(_states, STATE)
     return stitched(states).withColumnRenamed("k", key)
 

@@ -84,5 +84,13 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of a frame, as Spark estimates them, that make one range.
+RANGE_BYTES = 128 << 20
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """Partitions for a shuffle with a number of its own: the session's, or more where the frame is large for them."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Of a size it can't tell Spark says an enormous one.
+    return max(least, -(-size // RANGE_BYTES)) if size < 1 << 55 else least

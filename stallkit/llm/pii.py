@@ -259,8 +259,12 @@ def redact(text: str, spans: Sequence[Span]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def name_words(df: DataFrame, column: str, least: int = 2, most: int = 20_000) -> frozenset[str]:
-    """Parts of the names that stand as first and last name in ``least`` contact entries of ``column`` or more, the commonest ``most``."""
+#: Words that are parts of names; all of them go to every executor, and more than this are refused.
+MAX_NAME_WORDS = 2_000_000
+
+
+def name_words(df: DataFrame, column: str, least: int = 2) -> frozenset[str]:
+    """Parts of the names that stand as first and last name in ``least`` contact entries of ``column`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,8 +273,10 @@ def name_words(df: DataFrame, column: str, least: int = 2, most: int = 20_000) -
             yield pa.record_batch([pa.array([w for r in runs if len(r) == 2 for w in r if regex.fullmatch(_PART, w)], pa.string())], names=["word"])
 
     words = df.select(F.col(column).cast("string").alias("text")).where("text is not null").mapInArrow(run, "word string")
-    counts = words.groupBy("word").count().where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(most)
-    return frozenset(r.word for r in counts.collect())
+    found = words.groupBy("word").count().where(F.col("count") >= least).limit(MAX_NAME_WORDS + 1).collect()
+    if len(found) > MAX_NAME_WORDS:
+        raise ValueError(f"more than {MAX_NAME_WORDS} words are parts of names")
+    return frozenset(r.word for r in found)
 
 
 def redact_columns(df: DataFrame, columns: Sequence[str], contacts: Sequence[str] = (), keep: Sequence[str] = (), known: frozenset[str] = frozenset()) -> DataFrame:
@@ -284,7 +290,10 @@ def redact_columns(df: DataFrame, columns: Sequence[str], contacts: Sequence[str
     rows = df.select(*[F.col(k) for k in kept], *[F.col(c).cast("string").alias(f"_text{i}") for i, c in enumerate(columns)])
     fields = [f for c in columns for f in (T.StructField(f"{c}_redacted", T.StringType()), T.StructField(f"{c}_kinds", T.ArrayType(T.StringType())))]
 
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value
         for whole in batches:
             # Pieces of 512 rows keep the code-point arrays small.
             for at in range(0, whole.num_rows, 512):
@@ -292,7 +301,7 @@ def redact_columns(df: DataFrame, columns: Sequence[str], contacts: Sequence[str
                 out = list(batch.columns[: len(kept)])
                 for i, c in enumerate(columns):
                     texts = fold_array(batch.column(len(kept) + i))[0].to_pylist()
-                    spans = [find(t, c in contacts, known) if t else [] for t in texts]
+                    spans = [find(t, c in contacts, names) if t else [] for t in texts]
                     out.append(pa.array([None if t is None else redact(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.string()))
                     out.append(pa.array([sorted({x.kind for x in s}) for s in spans], pa.list_(pa.string())))
                 yield pa.record_batch(out, names=[*kept, *[f.name for f in fields]])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkit.llm.bpe import decode_ids, encode_texts
+from stallkit.llm.bpe import VOCABULARY, decode_ids, encode_texts
 from stallkit.llm.canon import meant_entries
 from stallkit.llm.leakage import leaked, reparameterised
 from stallkit.llm.percentiles import p5_found, p5_percentiles
@@ -76,14 +76,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Token ids of every document."""
-    return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+    """Token ids of every document. ``stallkit.vocabulary`` of the session names another file of the vocabulary."""
+    return encode_texts(table(spark, folder, "documents"), "doc_id", "text", spark.conf.get("stallkit.vocabulary", VOCABULARY))
 
 
 def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
     """Texts decoded from their token ids, with the number of ids: the round trip of every document."""
     ids = p8_ids(spark, folder)
-    texts = decode_ids(ids, "doc_id", "ids")
+    texts = decode_ids(ids, "doc_id", "ids", spark.conf.get("stallkit.vocabulary", VOCABULARY))
     return texts.select("doc_id", "text")
 
 

@@ -27,6 +27,11 @@ def meta_content(metas: Column, name: str) -> Column:
     return F.coalesce(F.get(fits, F.lit(0))["content"], F.lit(""))
 
 
+def distinct_images(urls: Column) -> Column:
+    """Addresses without blanks; of those that differ by case only the first stays."""
+    return F.aggregate(urls, F.array().cast("array<string>"), lambda acc, x: F.when((F.trim(x) == "") | F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+
+
 def summaries(parsed: DataFrame, pages: DataFrame) -> DataFrame:
     """``page_id, url, title, description, image_urls, search_query`` of every page."""
     both = parsed.join(pages.select("page_id", "url"), "page_id")
@@ -35,8 +40,7 @@ def summaries(parsed: DataFrame, pages: DataFrame) -> DataFrame:
     both = both.withColumn("description", first_non_empty(meta_content(metas, "og:description"), meta_content(metas, "description")))
     found = F.filter(F.concat(F.array(meta_content(metas, "og:image"), meta_content(metas, "twitter:image")), "images"), lambda x: F.trim(x) != "")
     kept = F.filter(resolved_urls(F.col("url"), found), lambda x: F.trim(x) != "")
-    # Of addresses that differ by case only the first stays.
-    seen = F.aggregate(kept, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    seen = distinct_images(kept)
     query = F.when(is_blank(search_query(F.col("title"))), search_query(F.col("description"))).otherwise(search_query(F.col("title")))
     return both.select("page_id", "url", "title", "description", F.slice(seen, 1, IMAGES).alias("image_urls"), query.alias("search_query"))
 

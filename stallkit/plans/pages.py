@@ -191,3 +191,55 @@ def h20_rendered_previews(spark: SparkSession, folder: str) -> DataFrame:
 def h23_sandboxed_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every listing's page made safe to be shown apart from its site."""
     return D.sandbox_pages(_pages(spark, folder)).select("page_id", F.length("sandbox_html").alias("length"), F.col("sandbox_html").contains("<script").alias("scripts"))
+
+
+@query("SELECT id AS page_id, array_to_string(list_filter(image_urls, lambda u: trim(u) <> ''), '|') AS images FROM listings WHERE image_urls IS NOT NULL")
+def h4_distinct_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Every listing's images, named again in capitals and with a blank: each comes once."""
+    rows = table(spark, folder, "listings").filter("image_urls is not null")
+    twice = F.concat("image_urls", F.array(F.lit(" ")), F.transform("image_urls", lambda u: F.upper(u)))
+    return rows.select(F.col("id").alias("page_id"), F.array_join(H.distinct_images(twice), "|").alias("images"))
+
+
+@query("SELECT id AS page_id, found_at, regexp_matches(concat_ws(' ', 'span', locality, title, '', description_short, description), '(?i)price|preis|amount|currentbid|buyitnow') AS price_like FROM listings")
+def h8_price_like(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether names, here a listing's texts, speak of a price."""
+    names = F.struct(F.lit("span").alias("tag"), F.col("locality").alias("id"), F.col("title").alias("class"), F.lit("").alias("itemprop"), F.col("description_short").alias("testid"), F.col("description").alias("label"))
+    return table(spark, folder, "listings").select(F.col("id").alias("page_id"), "found_at", H.price_like(names).alias("price_like"))
+
+
+@query(f"""
+    SELECT id AS page_id, tag, text FROM (SELECT id, 'h1' AS tag, {text_sql("title")} AS text FROM {_LISTINGS} UNION ALL SELECT id, 'p', {text_sql("description")} FROM {_LISTINGS})
+    WHERE length(text) BETWEEN 3 AND 220""")
+def h15_shown_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of every page that its preview may show."""
+    nodes = _parsed(spark, folder).select("page_id", F.explode("nodes").alias("n")).filter("n.shown and length(n.text) between 3 and 220")
+    return nodes.select("page_id", "n.tag", "n.text")
+
+
+_CLEAR = f"""WITH l AS (SELECT page_id, list({{'c': confidence, 'p': price, 's': selector}} ORDER BY place) AS x FROM ({_RANKED}) GROUP BY 1),
+    k AS (SELECT page_id, x, x[1].c >= 7 AND (len(x) = 1 OR x[1].c >= x[2].c + 2 OR (len(list_filter(x, lambda y: y.c >= x[1].c - 1)) > 1 AND len(list_filter(x, lambda y: y.c >= x[1].c - 1 AND NOT abs(y.p - x[1].p) < 0.01)) = 0)) AS clear FROM l)"""
+
+
+@query(_CLEAR + " SELECT page_id, CASE WHEN clear THEN len(list_filter(x, lambda y: y.s = x[1].s)) ELSE 0 END::INT AS n_auto FROM k")
+def h16_marked_elements(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of a page's elements are those of the price that was chosen unasked."""
+    lists = H.candidate_lists(_ranked(spark, folder)).withColumn("chosen", H.selected_price(F.col("candidates"), F.lit(None).cast("string")))
+    return lists.select("page_id", F.size(F.filter(H.marked(F.col("candidates"), F.col("candidates"), F.col("chosen")), lambda e: e["auto"])).alias("n_auto"))
+
+
+@query(_CLEAR + " SELECT page_id, page_id AS search_term, 'Ebay' AS reference_marketplace, 'all' AS marketplace, 0.0::DOUBLE AS min_price, CASE WHEN clear THEN x[1].p END AS max_price, CASE WHEN clear THEN x[1].s END AS reference_selector FROM k")
+def h18_suggested_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """The search to suggest for every page."""
+    lists = H.candidate_lists(_ranked(spark, folder)).withColumn("chosen", H.selected_price(F.col("candidates"), F.lit(None).cast("string")))
+    f = H.suggested_filter(F.lit("https://www.ebay.de/"), F.lit("www.ebay.de"), F.col("page_id"), F.col("page_id"), F.col("chosen"))
+    return lists.select("page_id", f.alias("f")).select("page_id", "f.search_term", "f.reference_marketplace", "f.marketplace", "f.min_price", "f.max_price", "f.reference_selector")
+
+
+@query(_CLEAR + " SELECT page_id, CASE WHEN x[1].s LIKE '/%' THEN x[1].s WHEN x[2].s = x[1].s THEN '/x/1' ELSE '/x/2' END AS path FROM k")
+def h22_primary_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The path of every page's first candidate among rendered nodes."""
+    lists = H.candidate_lists(_ranked(spark, folder))
+    css = lambda i: F.coalesce(F.get("candidates", F.lit(i))["selector"], F.lit(""))
+    nodes = F.array(F.struct(F.lit("/x/1").alias("xpath"), css(1).alias("css")), F.struct(F.lit("/x/2").alias("xpath"), css(0).alias("css")))
+    return lists.select("page_id", H.primary_path(F.get("candidates", F.lit(0)), nodes).alias("path"))

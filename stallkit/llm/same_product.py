@@ -198,17 +198,23 @@ def pair_links(pairs: DataFrame) -> DataFrame:
     return pairs.select("pid", "n", "v_terms", F.explode("terms").alias("term")).select("pid", "n", "term", F.array_contains("v_terms", F.col("term")).alias("shared"))
 
 
+def _held(links: DataFrame, weights: DataFrame) -> DataFrame:
+    """``pid, s, n, t`` of every pair, ``t`` its terms and whether they are shared: as many as a signature has."""
+    sums = F.sum(F.when(F.col("shared"), F.col("x")).otherwise(0.0)).alias("a"), F.sum("x").alias("b")
+    held = links.join(weights, "term").groupBy("pid").agg(*sums, F.first("n").alias("n"), F.collect_list(F.struct("term", "shared")).alias("t"))
+    return held.select("pid", F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0).alias("s"), "n", "t")
+
+
 def pair_scores(links: DataFrame, weights: DataFrame) -> DataFrame:
     """``pid, s``: the share of the weight of a signature's terms that a variant has too."""
-    held = links.join(weights, "term").groupBy("pid").agg(F.sum(F.when(F.col("shared"), F.col("x")).otherwise(0.0)).alias("a"), F.sum("x").alias("b"))
-    return held.select("pid", F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0).alias("s"))
+    return _held(links, weights).select("pid", "s")
 
 
 def reinforced(links: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
     """``term, x``: weights of terms when they have settled, and the number of rounds that took."""
     weights = ws.cut(links.select("term").distinct().withColumn("x", F.lit(1.0)), "weights0")
     for turn in range(1, MOST_ROUNDS + 1):
-        scored = links.join(pair_scores(links, weights), "pid")
+        scored = _held(links, weights).select("s", "n", F.inline("t"))
         mean = F.sum(F.when(F.col("shared"), F.col("s")).otherwise(0.0) * F.col("n")) / F.sum("n")
         new = ws.cut(scored.groupBy("term").agg(mean.alias("x")), f"weights{turn}")
         moved = new.join(weights.withColumnRenamed("x", "before"), "term").agg(F.max(F.abs(F.col("x") - F.col("before")))).first()[0]

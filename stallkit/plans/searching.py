@@ -22,10 +22,10 @@ def _sql(condition: str) -> str:
     return f"SELECT id, found_at, title, price, platform FROM listings WHERE {condition}"
 
 
-@query(_sql(f"list_has_all({_TOKENS}, ['camping', 'schwarz'])"))
+@query(_sql(f"list_has_all({_TOKENS}, ['mit', 'ovp'])"))
 def f1_title_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Listings whose title holds every word asked for."""
-    return _where(spark, folder, S.matches_all(F.col("title"), "Schwarz, CAMPING"))
+    return _where(spark, folder, S.matches_all(F.col("title"), "OVP, mit"))
 
 
 @query(_sql("price >= 0 AND price <= 120"))

@@ -184,18 +184,24 @@ def signatures(read: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def pairs_of(signs: DataFrame, variants: DataFrame, ws: Workspace) -> DataFrame:
-    """``pid, sig, v, n, terms, v_terms``: a signature with each variant of which it has the code or line."""
+    """``pid, sig, vs, n, terms, shared``: a signature with the variants of which it has the code or line.
+
+    Variants that have the same of a signature's terms score alike, so they are one row; ``n`` counts listings times variants.
+    """
     names = lambda t: F.filter(t, lambda x: x.startswith("code:") | x.startswith("line:"))
     a = signs.select("sig", "n", "terms", F.explode(names(F.col("terms"))).alias("name"))
     b = variants.select("v", F.col("terms").alias("v_terms"), F.explode(names(F.col("terms"))).alias("name"))
+    met = a.join(b, "name").select("sig", "n", "terms", "v", F.array_intersect("terms", "v_terms").alias("shared"))
+    alike = met.groupBy("sig", "shared").agg(F.first("terms").alias("terms"), F.first("n").alias("each"), F.collect_set("v").alias("vs"))
     # Numbers are given to written rows, so that a lost task's rerun gives them again.
-    pairs = ws.cut(a.join(b, "name").dropDuplicates(["sig", "v"]).drop("name"), "met")
+    pairs = ws.cut(alike.select("sig", "vs", (F.col("each") * F.size("vs")).alias("n"), "terms", "shared"), "met")
     return ws.cut(pairs.withColumn("pid", F.monotonically_increasing_id()), "pairs")
 
 
 def pair_links(pairs: DataFrame) -> DataFrame:
     """``pid, n, term, shared`` of every term of every pair's signature."""
-    return pairs.select("pid", "n", "v_terms", F.explode("terms").alias("term")).select("pid", "n", "term", F.array_contains("v_terms", F.col("term")).alias("shared"))
+    every = pairs.select("pid", "n", F.col("shared").alias("s"), F.explode("terms").alias("term"))
+    return every.select("pid", "n", "term", F.array_contains("s", F.col("term")).alias("shared"))
 
 
 def pair_scores(links: DataFrame, weights: DataFrame) -> DataFrame:
@@ -235,7 +241,7 @@ def classes(listings: DataFrame, products: DataFrame) -> DataFrame:
     pairs = pairs_of(signs, variants, ws)
     links = ws.cut(pair_links(pairs), "links")
     weights, _ = reinforced(links, ws)
-    scored = pair_scores(links, weights).where(F.col("s") >= ACCEPT).join(pairs.select("pid", "sig", "v"), "pid")
+    scored = pair_scores(links, weights).where(F.col("s") >= ACCEPT).join(pairs.select("pid", "sig", F.explode("vs").alias("v")), "pid")
     found = scored.join(variants.select("v", "code", "dim", "measure", "colour"), "v").groupBy("sig").agg(F.max("s").alias("score"), F.collect_list(F.struct("s", "code", "dim", "measure", "colour")).alias("every"))
     best = found.select("sig", "score", F.filter("every", lambda x: x["s"] >= F.col("score") - EQUAL).alias("best"))
     one = best.where(F.size(F.array_distinct(F.transform("best", lambda x: x["code"]))) == 1).select("sig", "score", "best", F.col("best")[0]["code"].alias("code"), F.col("best")[0]["dim"].alias("dim"))

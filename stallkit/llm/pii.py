@@ -138,6 +138,15 @@ NAMES = [
     (regex.compile(rf"(?<!\p{{L}})(?i:call|text|ring|write to|ruf|rufen sie|schreib|appelez|appeler)\s{_SINGLE}(?=\s(?i:on|at|via|under|unter|an|au)(?!\p{{L}}))"), 0.6),
     (regex.compile(rf"(?<!\p{{L}})(?P<v>{_TITLE}{_PART}(?:\s{_PART})?)"), 0.45),
 ]
+#: Of each pattern above, bits of words in lower case of which every match has one: looked for first, since that is quick.
+NAME_CUES = [
+    ("ansprechpartner", "kontakt", "verkäufer", "anbieter", "vendeu", "seller", "owner", "contact", "name", "nom", "appelle", "heiße"),
+    ("grü", "gru", "lg", "vg", "mfg", "cordialement", "bien à vous", "salutations", "amicalement", "regards", "cheers", "sincerely", "wishes", "thanks", "merci", "danke"),
+    ("fragen", "melden", "wenden"),
+    ("ask for", "speak to", "talk to", "demande", "contacte", "adresser", "fragen nach", "fragt nach", "melden bei"),
+    ("call", "text", "ring", "write", "ruf", "schreib", "appele"),
+    ("",),
+]
 #: Capitalised words that begin a sentence or name a thing, not a person. Fixed values.
 NOT_NAMES = frozenset("chat mail email telefon tel handy whatsapp sms anzeige plattform nachricht bitte preis versand abholung privat shop laden neu gerät anruf email e-mail message portal rückfragen fragen interesse bedarf vereinbarung absprache".split())
 NAME_RUN = regex.compile(rf"(?<![\p{{L}}@._-]){_PART}(?:[ ]{_PART}){{0,3}}(?![\p{{L}}@_])")
@@ -209,8 +218,9 @@ def _addresses(t: str) -> Iterator[Span]:
 
 
 def _names(t: str, contact: bool, known: frozenset[str]) -> Iterator[Span]:
-    for pattern, score in NAMES:
-        for m in pattern.finditer(t):
+    low = t.lower()
+    for (pattern, score), cues in zip(NAMES, NAME_CUES, strict=True):
+        for m in pattern.finditer(t) if any(c in low for c in cues) else ():
             a, words = m.start("v"), m.group("v").split(" ")
             if words[0].lower() in NOT_NAMES:
                 continue

@@ -32,9 +32,13 @@ def distinct_images(urls: Column) -> Column:
     return F.aggregate(urls, F.array().cast("array<string>"), lambda acc, x: F.when((F.trim(x) == "") | F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
-def summaries(parsed: DataFrame, pages: DataFrame) -> DataFrame:
-    """``page_id, url, title, description, image_urls, search_query`` of every page."""
-    both = parsed.join(pages.select("page_id", "url"), "page_id")
+def summaries(parsed: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """``page_id, url, title, description, image_urls, search_query`` of every page.
+
+    The addresses are those that ``parsed`` carries along, else those of ``pages``. Carried along they need no join, which
+    a planner that thinks the addresses few sends through the driver.
+    """
+    both = parsed if pages is None else parsed.join(pages.select("page_id", "url"), "page_id")
     metas = F.col("metas")
     both = both.withColumn("title", first_non_empty(meta_content(metas, "og:title"), meta_content(metas, "twitter:title"), F.col("h1"), F.col("title")))
     both = both.withColumn("description", first_non_empty(meta_content(metas, "og:description"), meta_content(metas, "description")))

@@ -62,8 +62,7 @@ def h1_meta_contents(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT id AS page_id, coalesce(nullif({text_sql('title')}, ''), 'Page') AS title, {text_sql('description')} AS description, coalesce(array_to_string(image_urls[1:6], '|'), '') AS images FROM {_LISTINGS}")
 def h2_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """Title, description and images of every page."""
-    pages = _pages(spark, folder)
-    return H.summaries(D.parse_pages(pages), pages).select("page_id", "title", "description", F.array_join("image_urls", "|").alias("images"))
+    return H.summaries(D.parse_pages(_pages(spark, folder), keep=["url"])).select("page_id", "title", "description", F.array_join("image_urls", "|").alias("images"))
 
 
 @query(f"SELECT id AS page_id, len(image_urls[1:6])::INT AS n, image_urls[1] AS first FROM {_LISTINGS} WHERE len(image_urls) > 0")

@@ -1,11 +1,16 @@
 """Pages, candidates and previews."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from stallkit.operators import pages as H
+from stallkit.plans.core import QUERIES
 from stallkit.sources import html as D
 
+SMALL = "/root/testdata/sf0.001"
+
 PAGE = (
     '<html><head><title>Foo</title><meta property="og:title" content="Sony Kamera | eBay.de"><meta property="product:price:amount" content="99.50"><meta property="product:price:currency" content="EUR"></head>'
     '<body><h1>Sony Kamera</h1><span class="price">99,50 €</span><div id="ship">Versand 4,90 €</div></body></html>'
@@ -32,6 +37,21 @@ def test_a_static_page(spark):
     assert (f.search_term, f.marketplace, f.min_price, f.max_price, f.reference_marketplace, f.reference_currency) == ("Sony Kamera", "all", 0.0, 99.5, "Ebay", "EUR")
 
 
+def test_summaries_of_pages_that_carry_their_addresses(spark):
+    image = '<html><body><img src="/a.png"></body></html>'
+    pages = frame(spark, [(1, "https://x.de/i/1", PAGE, None), (2, "https://y.de/", image, None), (3, None, None, None), (None, "https://z.de/", image, None)])
+    got = H.summaries(D.parse_pages(pages, keep=["url"]))
+    assert sorted(((r.page_id, r.url, r.title, r.image_urls) for r in got.collect()), key=repr) == [
+        (1, "https://x.de/i/1", "Sony Kamera | eBay.de", []), (2, "https://y.de/", "", ["https://y.de/a.png"]), (3, None, "", []), (None, "https://z.de/", "", ["https://z.de/a.png"])
+    ]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data here")
+def test_summaries_of_a_table_send_no_rows_through_the_driver(spark):
+    plan = QUERIES["h2_summaries"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "BroadcastExchange" not in plan
+
+
 def test_odd_pages_have_defined_previews(spark):
     deep = "<body>" + "<div>" * 200 + "5 €" + "</div>" * 200 + "</body>"
     pages = frame(spark, [(1, "https://x.de/", None, None), (2, "https://x.de/", "", ""), (3, None, "<p>a<p>b", "nope"), (4, "https://x.de/", deep, None), (5, "https://x.de/", PAGE, "nope"), (6, "https://x.de/", PAGE, "div#ship")])

@@ -113,6 +113,17 @@ def test_messages(spark):
     assert {r.listing_id for r in matching.still_missing(missing, found).collect()} == {"a", "c"}
 
 
+def test_listeners_that_ask_the_same_meet_listings_once(spark):
+    listings = spark.createDataFrame([("l1", 1, {"color": "red", "size": "M"}), ("l1", 1, {"weight": "1"}), ("l2", 1, {"color": "red", "size": "L"}), ("l3", 2, {"color": "red"}), ("l4", None, {"color": "red"})], "id string, platform int, attributes map<string,string>")
+    both, odd = [("Size", "m"), ("color", "red")], [("color", None)]
+    listeners = spark.createDataFrame([("u", i, both[::-1] if i % 2 else both, 1) for i in range(4)] + [("u", 0, both, 1), ("v", 9, both, 2), ("x", 5, odd, 1), ("y", 6, [*both, ("weight", "1")], 1), ("z", 7, [("color", "red")], None)], "user_id string, id int, filters array<struct<name:string,value:string>>, platform int")
+    got = matching.listener_matches(listings, listeners)
+    assert sorted(map(tuple, got.collect())) == [("u", 0, "l1"), ("u", 0, "l1"), ("u", 1, "l1"), ("u", 2, "l1"), ("u", 3, "l1"), ("y", 6, "l1")]
+    # No shuffle holds pairs: the last join is not grouped again, and listeners don't go through the driver.
+    plan = got._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert "SortMergeJoin" in next(line for line in plan if "Join" in line or "Aggregate" in line)
+
+
 def test_statistics(spark):
     rows = spark.createDataFrame([("p", 1.0), ("p", 2.0), ("p", 3.0), ("p", 10.0), ("p", None), ("p", -1.0), (None, 5.0)], "k string, price double")
     got = {r.k: (r.average_price, r.median_price, r.min_price, r.max_price, r.sample_count) for r in metrics.price_stats(rows, ["k"], "price").collect()}
